@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dialect
@@ -76,53 +76,64 @@ def _base64(d: Detector) -> str:
     return next(p for _, name, p in d.rules if name == "base64_payload")
 
 
-def _decoded(text: Column, d: Detector) -> Column:
-    """The first base64 run if, decoded, it speaks of an override; else an empty string."""
-    run = F.regexp_extract(text, dialect.render(_base64(d), "spark"), 0)
-    said = F.lower(F.make_valid_utf8(F.try_to_binary(run, F.lit("base64")).cast("string")))
-    found = said.contains(DECODED_WORDS[0])
-    for word in DECODED_WORDS[1:]:
-        found = found | said.contains(word)
-    return F.when(found, run).otherwise("")
+def literal(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _literals(ds: Iterable[Detector]) -> list[str]:
     return sorted({w for d in ds for _, _, p in d.rules for w in dialect.gate(p)})
 
 
-def prepare(df: DataFrame, text: str, ds: Iterable[Detector]) -> DataFrame:
-    """``df`` with ``_text`` and ``_has``: which of the detectors' literals each text holds.
+def _extract(pattern: str) -> str:
+    return f"regexp_extract(_text, {literal(dialect.render(dialect.check(pattern), 'spark'))}, 0)"
 
-    Rules share literals; each is looked for once, in small letters made once. Most texts hold few, and
-    a rule's pattern is searched only where one of its literals is.
-    """
-    lower = df.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_low", F.lower("_text"))
-    return lower.withColumn("_has", F.array(F.lit(False), *[F.col("_low").contains(w) for w in _literals(ds)])).drop("_low")
 
+def _decoded(d: Detector) -> str:
+    """The first base64 run if, decoded, it speaks of an override; else an empty string."""
+    run = _extract(_base64(d))
+    said = f"lower(make_valid_utf8(cast(try_to_binary({run}, 'base64') AS string)))"
+    return f"CASE WHEN {' OR '.join(f'contains({said}, {literal(w)})' for w in DECODED_WORDS)} THEN {run} ELSE '' END"
 
-def hits(d: Detector, ds: Iterable[Detector] | None = None) -> Column:
-    """Array of (bucket, name, match) of the rules that match, in the rules' order; each rule once, its first match.
 
-    Over what ``prepare`` added for the detectors ``ds`` (d alone if None).
-    """
-    at = {w: i for i, w in enumerate(_literals([d] if ds is None else ds), 1)}
-    text, has, out = F.col("_text"), F.col("_has"), []
+def _hits(d: Detector, at: dict[str, int]) -> str:
+    """Array of (bucket, name, match) of the rules that match, in the rules' order; each rule once, its first match."""
+    out = []
     for bucket, name, pattern in d.rules:
-        match = F.regexp_extract(text, dialect.render(dialect.check(pattern), "spark"), 0)
+        match = _extract(pattern)
         if words := sorted(dialect.gate(pattern)):
-            some = has[at[words[0]]]
-            for w in words[1:]:
-                some = some | has[at[w]]
-            match = F.when(some, match).otherwise("")
+            match = f"CASE WHEN {' OR '.join(f'_has[{at[w]}]' for w in words)} THEN {match} ELSE '' END"
         out.append((bucket, name, match))
     if d.name == "bypass_detection":
-        out.append(("stealth", DECODED_RULE, _decoded(text, d)))
-    every = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(n).alias("name"), m.alias("match")) for b, n, m in out])
-    return F.filter(every, lambda x: x["match"] != "")
+        out.append(("stealth", DECODED_RULE, _decoded(d)))
+    every = ", ".join(f"named_struct('bucket', '{b}', 'name', '{n}', 'match', {m})" for b, n, m in out)
+    return f"filter(array({every}), x -> x.match <> '')"
+
+
+def _counts(d: Detector) -> str:
+    parts = [f"'{k}', size(filter({hits_of(d)}, x -> x.bucket IN ({', '.join(map(literal, b))})))" for k, b in d.counts.items()]
+    return f"named_struct({', '.join(parts)}, 'A', size({hits_of(d)}))"
+
 
+def hits_of(d: Detector) -> str:
+    """The column that ``scan`` adds for a detector's hits."""
+    return f"_hits_{d.name}"
 
-def _count(found: Column, buckets: tuple[str, ...]) -> Column:
-    return F.size(F.filter(found, lambda x: x["bucket"].isin(*buckets)))
+
+def scan(df: DataFrame, text: str, ds: Iterable[Detector]) -> DataFrame:
+    """``df`` with ``_text`` and each detector's hits and counts (``_n_`` and its name).
+
+    Rules share literals; each is looked for once, in small letters made once (``_has``). Most texts
+    hold few, and a rule's pattern is searched only where one of its literals is. Every step is a
+    projection of its own, whose columns the next uses more than once, so that Spark doesn't merge
+    them and evaluate them again for every use.
+    """
+    ds = list(ds)
+    at = {w: i for i, w in enumerate(_literals(ds), 1)}
+    lower = df.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_low", F.lower("_text"))
+    held = lower.withColumn("_has", F.expr(f"array({', '.join(['false', *(f'contains(_low, {literal(w)})' for w in at)])})")).drop("_low")
+    found = held.withColumns({hits_of(d): F.expr(_hits(d, at)) for d in ds}).drop("_has")
+    return found.withColumns({f"_n_{d.name}": F.expr(_counts(d)) for d in ds})
 
 
 def counts_sql(d: Detector) -> dict[str, str]:
@@ -157,39 +168,19 @@ def ladder_sql(d: Detector) -> tuple[str, str]:
     return severity, confidence
 
 
-def _rungs(d: Detector, counts: dict[str, Column], value) -> Column:
-    """The first rung that holds, as a column; rungs are evaluated with the counts in place of the letters."""
-    names = {**counts, "least": F.least}
+EMPTY = f"_text RLIKE {literal(dialect.BLANK)}"
+NO_MATCHES = "cast(array() AS array<struct<name:string,match:string,category:string>>)"
 
-    def of(source: str) -> Column:
-        tree = source.replace(" OR ", " | ").replace(" AND ", " & ")
-        return eval(_bracketed(tree), {"__builtins__": {}}, names)  # noqa: S307 - the ladders above, nothing else
 
-    out = None
-    for r in d.rungs:
-        out = F.when(of(r[0]), value(r, of)) if out is None else out.when(of(r[0]), value(r, of))
-    return out
-
-
-def _bracketed(condition: str) -> str:
-    return re.sub(r"[A-Z] >= \d", lambda m: f"({m[0]})", condition)
-
-
-def result(text: Column, d: Detector, found: Column) -> Column:
-    """The detector's result struct, from its hits."""
-    counts = {letter: _count(found, buckets) for letter, buckets in d.counts.items()} | {"A": F.size(found)}
-    severity = _rungs(d, counts, lambda r, of: F.lit(r[1]))
-    confidence = _rungs(d, counts, lambda r, of: F.least(F.lit(r[2]), F.lit(r[3]) + F.lit(r[4]) * of(r[5])))
-    told = F.concat_ws(", ", *[F.concat(counts[k].cast("string"), F.lit(f" {' + '.join(b)}")) for k, b in d.counts.items()])
-    empty = F.coalesce(text, F.lit("")).rlike(dialect.BLANK)
-    threat = ~empty & (F.size(found) > 0)
-    return F.struct(
-        F.lit(d.name).alias("detector"),
-        threat.alias("is_threat"),
-        F.when(threat, severity).otherwise("info").alias("severity"),
-        F.when(threat, F.lit(d.category)).otherwise("direct_injection").alias("category"),
-        F.when(threat, confidence).otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(empty, "Empty input").when(threat, F.concat(F.lit(f"{d.says} detected: "), told)).otherwise(d.none).alias("reason"),
-        F.when(threat, F.transform(found, lambda x: F.struct(x["name"].alias("name"), x["match"].alias("match"), F.lit(d.category).alias("category")))).otherwise(F.array().cast("array<struct<name:string,match:string,category:string>>")).alias("matches"),
-        F.lit(None).cast("string").alias("sanitized_input"),
-    )
+def result_sql(d: Detector) -> str:
+    """The detector's result struct, over what ``scan`` added."""
+    n = f"_n_{d.name}"
+    severity, confidence = (re.sub(r"\b([A-Z])\b", rf"{n}.\1", x) for x in ladder_sql(d))
+    threat = f"(NOT ({EMPTY}) AND {n}.A > 0)"
+    told = ", ', ', ".join(f"cast({n}.{k} AS string), {literal(' ' + ' + '.join(b))}" for k, b in d.counts.items())
+    matches = f"transform({hits_of(d)}, x -> named_struct('name', x.name, 'match', x.match, 'category', '{d.category}'))"
+    return f"""named_struct(
+        'detector', '{d.name}', 'is_threat', {threat}, 'severity', CASE WHEN {threat} THEN {severity} ELSE 'info' END,
+        'category', CASE WHEN {threat} THEN '{d.category}' ELSE 'direct_injection' END, 'confidence', CASE WHEN {threat} THEN {confidence} ELSE cast(0 AS double) END,
+        'reason', CASE WHEN {EMPTY} THEN 'Empty input' WHEN {threat} THEN concat({literal(d.says + ' detected: ')}, {told}) ELSE {literal(d.none)} END,
+        'matches', CASE WHEN {threat} THEN {matches} ELSE {NO_MATCHES} END, 'sanitized_input', cast(null AS string))"""

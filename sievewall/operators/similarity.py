@@ -37,8 +37,9 @@ def weights(attacks: list[tuple[str, str, tuple[str, ...]]] = ATTACKS) -> tuple[
 def scores(text: Column, attacks: list[tuple[str, str, tuple[str, ...]]] = ATTACKS) -> Column:
     """Array of (seq, label, score) for every attack, in order."""
     idf, vectors = weights(attacks)
-    table = F.create_map(*[x for w in idf for x in (F.lit(w), F.array(F.lit(idf[w]), *[F.lit(v.get(w, 0.0)) for v in vectors]))])
-    known = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: w.isin(*idf))
+    rows = ", ".join(f"'{w}', array({', '.join(f'{x!r}D' for x in (idf[w], *(v.get(w, 0.0) for v in vectors)))})" for w in idf)
+    table = F.expr(f"map({rows})")
+    known = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: w.isin(list(idf)))
     own = F.transform(F.array_distinct(known), lambda w: F.struct(table[w].alias("w"), (F.size(F.filter(known, lambda y: y == w)) * F.get(table[w], F.lit(0))).alias("x")))
     zero = F.struct(F.lit(0.0).alias("n"), *[F.lit(0.0).alias(f"d{i}") for i in range(len(attacks))])
     sums = F.aggregate(own, zero, lambda a, e: F.struct((a["n"] + e["x"] * e["x"]).alias("n"), *[(a[f"d{i}"] + e["x"] * F.get(e["w"], F.lit(i + 1))).alias(f"d{i}") for i in range(len(attacks))]))

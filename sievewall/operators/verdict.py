@@ -77,7 +77,8 @@ class Screening:
         column = F.col(text)
         found, results = {}, []
         own = [detectors.DETECTORS[name] for name, build in self._detectors if build is None and name in detectors.DETECTORS]
-        df = detectors.prepare(df, text, own) if own else df
+        before = df.columns
+        df = detectors.scan(df, text, own) if own else df
         for name, build in self._detectors:
             if build is not None:
                 try:
@@ -85,8 +86,7 @@ class Screening:
                 except Exception as e:
                     results.append(_failed(name, DetectionError(f"Detector error: {e}", name, e)))
             elif name in detectors.DETECTORS:
-                found[f"_{name}"] = detectors.hits(detectors.DETECTORS[name], own)
-                results.append(detectors.result(column, detectors.DETECTORS[name], F.col(f"_{name}")))
+                results.append(F.expr(detectors.result_sql(detectors.DETECTORS[name])))
             elif name == "vector_similarity":
                 found["_similar"] = similarity.scores(column)
                 results.append(similarity.result(column, F.col("_similar"), self.threshold))
@@ -94,7 +94,10 @@ class Screening:
                 results.append(access.result(column, None if context is None else {k: F.col(v) for k, v in context.items()}))
         every = F.array(*results) if results else F.array().cast(f"array<{RESULT.simpleString()}>")
         out = df.withColumns(found) if found else df
-        out = out.withColumn("results", every).drop(*found, "_text", "_has").withColumn("_blocking", blocking(F.col("results"), self.block))
+        # A random number keeps filters on the verdict above this projection: pushed below it, they would
+        # hold the whole of it again for each column they name.
+        every = F.when(F.rand(0) >= 0, every)
+        out = out.withColumn("results", every).select(*before, "results").withColumn("_blocking", blocking(F.col("results"), self.block))
         sanitized = F.get(F.filter("results", lambda r: F.coalesce(r["sanitized_input"], F.lit("")) != ""), F.lit(0))["sanitized_input"]
         return out.withColumns({
             "blocked": F.size("_blocking") > 0,

@@ -103,9 +103,8 @@ def _detector_query(name: str) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = DETECTORS[name]
-        rows = detectors.prepare(_spliced(table(spark, sf_dir, source), number, text), "text", [d])
-        out = rows.withColumn("_hits", detectors.hits(d)).withColumn("r", detectors.result(F.col("text"), d, F.col("_hits")))
-        return out.select(*keys.split(", "), "r.is_threat", "r.severity", F.round("r.confidence", 4).alias("confidence"), F.size("_hits").cast("long").alias("n_hits"))
+        out = detectors.scan(_spliced(table(spark, sf_dir, source), number, text), "text", [d]).withColumn("r", F.expr(detectors.result_sql(d)))
+        return out.select(*keys.split(", "), "r.is_threat", "r.severity", F.round("r.confidence", 4).alias("confidence"), F.expr(f"cast(_n_{name}.A AS bigint)").alias("n_hits"))
 
     query(f"det_{_NAMES[name]}", _sql_detector(name, _sql_spliced(source, number, keys, text), keys))(run)
 
@@ -125,7 +124,7 @@ def det_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hit of the detector for pages, with its text."""
     d = DETECTORS["indirect_injection"]
     order = F.create_map(*[x for i, (b, n, _) in enumerate(d.rules) for x in (F.lit(f"{b}/{n}"), F.lit(i))])
-    rows = detectors.prepare(_spliced(table(spark, sf_dir, "pages"), "page_id", "html"), "text", [d]).select("page_id", F.explode(detectors.hits(d)).alias("h"))
+    rows = detectors.scan(_spliced(table(spark, sf_dir, "pages"), "page_id", "html"), "text", [d]).select("page_id", F.explode_outer(detectors.hits_of(d)).alias("h")).where("h IS NOT NULL")
     return rows.select("page_id", order[F.concat("h.bucket", F.lit("/"), "h.name")].alias("seq"), "h.bucket", F.col("h.name").alias("rule"), "h.match")
 
 
@@ -252,7 +251,7 @@ def pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 def threat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threats in documents by language, detector and severity, with subtotals."""
     screening = Screening().add("direct_injection").add("exfiltration").add("content_framing")
-    rows = screening.run(_spliced(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")).select("lang", F.explode("results").alias("r")).where("r.is_threat")
+    rows = screening.run(_spliced(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")).select("lang", F.explode_outer("results").alias("r")).where("r.is_threat")
     return rows.select("lang", "r.detector", "r.severity").rollup("lang", "detector", "severity").agg(F.count("*").alias("n"))
 
 
