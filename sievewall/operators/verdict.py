@@ -94,9 +94,9 @@ class Screening:
                 results.append(access.result(column, None if context is None else {k: F.col(v) for k, v in context.items()}))
         every = F.array(*results) if results else F.array().cast(f"array<{RESULT.simpleString()}>")
         out = df.withColumns(found) if found else df
-        # A random number keeps filters on the verdict above this projection: pushed below it, they would
-        # hold the whole of it again for each column they name.
-        every = F.when(F.rand(0) >= 0, every)
+        # The partition's number isn't deterministic to Spark, which so keeps filters on the verdict above this
+        # projection: pushed below it, they would hold the whole of it again for each column they name.
+        every = F.when(F.spark_partition_id() >= 0, every)
         out = out.withColumn("results", every).select(*before, "results").withColumn("_blocking", blocking(F.col("results"), self.block))
         sanitized = F.get(F.filter("results", lambda r: F.coalesce(r["sanitized_input"], F.lit("")) != ""), F.lit(0))["sanitized_input"]
         return out.withColumns({
