@@ -80,7 +80,7 @@ def test_near_duplicates(spark):
 
 
 def test_lines(spark):
-    base = [prose(12) for _ in range(6)]
+    base = [prose(40) for _ in range(6)]
     rows = [(3, "\n".join([base[0], "", base[1], "ab"])), (1, "\n".join([base[0], edited(base[2], 1), "ab"])), (2, "\n".join(base[2:])), (4, None), (None, base[0])]
     lines = {(d, n): x for d, t in rows if d for n, x in enumerate((t or "").split("\n"))}
     sets = {k: {x[i : i + 8] for i in range(len(x) - 7)} if len(x) >= 8 else {x} for k, x in lines.items() if x.strip()}
