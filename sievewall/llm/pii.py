@@ -32,8 +32,10 @@ from pyspark.sql import types as T
 from . import _io
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: An address from its sign on; its name is looked for backwards, as a forward search over a long word takes quadratic time.
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_NOT_NAME = re.compile(r"[^A-Za-z0-9._%+-]")
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -54,7 +56,7 @@ _SPOKEN = re.compile(rf"(?i)(?<![A-Za-z])(?:plus[\s,.-]+)?(?:{_word}|[0-9])(?:[\
 _SPOKEN_WORD = re.compile(rf"(?i)(plus)|({_word})|([0-9])")
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
-_AT_DOT = re.compile(rf"(?i)([A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*)({_AT})([A-Za-z0-9-]+)((?:{_DOT}[A-Za-z0-9-]+)+)")
+_AT_DOT = re.compile(rf"(?i)(?<![A-Za-z0-9_%+-])(?<![A-Za-z0-9_%+-]\.)((?>[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*))({_AT})([A-Za-z0-9-]+)((?:{_DOT}[A-Za-z0-9-]+)+)")
 _DOT_PART = re.compile(rf"(?i){_DOT}")
 #: What must be in a text for it to be worth rewriting, besides characters that ``fold`` changes.
 _CUE_AT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]")
@@ -71,12 +73,33 @@ def luhn(digits: str) -> bool:
     return (total + sum(sum(divmod(2 * int(x), 10)) for x in digits[-2::-2])) % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, leftmost first, without overlap."""
+    done = 0
+    for m in _DOMAIN.finditer(text):
+        start = m.start()
+        while start > done:
+            low = max(done, start - 64)
+            stops = [x.end() for x in _NOT_NAME.finditer(text, low, start)]
+            start = stops[-1] if stops else low
+            if stops:
+                break
+        if start < m.start():
+            done = m.end()
+            yield start, done
+
+
+def _octet(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) < 4 and int(digits or "0") <= 255
+
+
 def plain(text: str) -> list[Span]:
     """Identifiers as they stand, leftmost first within each kind; a match that fails its check is dropped."""
     out: list[Span] = []
     if "@" in text:
-        out += [("email", *m.span()) for m in _EMAIL.finditer(text)]
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))] if "." in text else []
+        out += [("email", *span) for span in emails(text)]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))] if "." in text else []
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(digits := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(digits):
             out.append(("card", *m.span()))

@@ -111,6 +111,22 @@ def test_pii():
     assert Counter(x[0] for x in base) == {"card": 1, "ip": 1, "phone": 1, "email": 1}
 
 
+def test_pii_plain_is_what_the_patterns_say():
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    r = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(r.choice("a1.@@ -%é") for _ in range(r.randint(0, 24)))
+        assert [m.span() for m in email.finditer(text)] == list(pii.emails(text))
+        text = "".join(r.choice("0129..") for _ in range(r.randint(0, 24)))
+        assert [m.span() for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))] == [x[1:] for x in pii.plain(text) if x[0] == "ip"]
+
+
+def test_pii_long_words():
+    assert pii.find("1" * 9000 + ".1.1.1") == ([], [])
+    for text in ("a" * 200_000 + " dot @", "1" * 200_000 + " a@", "a." * 30_000 + " x dot y", "a@" * 50_000, " " * 100_000 + " dot two one"):
+        assert pii.find(text) == ([], [])
+
+
 def test_pii_rows(spark):
     out = {r["doc_id"]: r for r in pii.scan(docs(spark, [(1, None), (2, "a@b.c"), (None, "a@b.c")])).collect()}
     assert out[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and out[2]["spans"] == "email:0:5" == out[None]["spans"]
