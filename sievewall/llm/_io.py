@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 KEY = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
@@ -36,14 +37,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return what was written."""
+    """Write ``df`` to the shared folder and return what was written.
+
+    The shuffle files of the write go when it ends: what was written replaces them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievewall/{uuid.uuid4().hex}/{tag}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote; nothing that is still to run may read it."""
+    spark = written.sparkSession
+    folder = written.inputFiles()[0].rsplit("/", 2)[0].rsplit("/", 1)[1]
+    at = next(i for i, (_, path) in enumerate(_written) if path.rsplit("/", 2)[1] == folder)
+    _delete(spark, _written.pop(at)[1])
+
+
 def reclaim(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()
@@ -54,9 +76,7 @@ def reclaim(spark: SparkSession) -> None:
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: there is nobody left to ask
             return
 

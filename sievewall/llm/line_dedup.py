@@ -138,13 +138,14 @@ def line_components(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").alias("d"), F.col("line_no").cast("long").alias("n"))).alias("first")
     classes = linking.groupBy("k1", "k2").agg(first, F.first("line").alias("line")).select("k1", "k2", "first.d", "first.n", "line")
     classes = _io.materialize(classes, "lines")
-    _io.reclaim(spark)
-    bands = classes.select("k1", "line").mapInArrow(_bands, _BAND)
-    groups = bands.groupBy("node").agg(F.count("*").alias("size"), F.min("k1").alias("low"), F.sum(F.xxhash64("k1").cast("decimal(20,0)")).alias("all")).where("size > 1")
+    bands = _io.materialize(classes.select("k1", "line").mapInArrow(_bands, _BAND), "bands")
+    # counts are combined before the shuffle, and a hot band is split by the skewed join: no task meets all of one
+    shared = _io.materialize(bands.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "shared")
+    members = _io.materialize(bands.join(shared, "node"), "members")
+    _io.discard(bands)
+    groups = members.groupBy("node").agg(F.count("*").alias("size"), F.min("k1").alias("low"), F.sum(F.xxhash64("k1").cast("decimal(20,0)")).alias("all"))
     groups = _io.materialize(groups.groupBy("size", "low", "all").agg(F.min("node").alias("node")).select("node", "size"), "groups")
-    _io.reclaim(spark)
-    members = _io.materialize(bands.join(groups, "node"), "members")
-    _io.reclaim(spark)
+    members = members.join(groups, "node")
     cells = tiles(members.join(classes.select("k1", "d", "n", "line"), "k1").drop("k1"), "node", "size", ["d", "n"], TILE)
     edges = _deal(cells, "cell").mapInArrow(_compare(similarity), _EDGE)
     links = edges.select(F.struct(F.col("sd").alias("d"), F.col("sn").alias("n")).alias("src"), F.struct(F.col("dd").alias("d"), F.col("dn").alias("n")).alias("dst"))
