@@ -149,15 +149,21 @@ def rows_of(ends: np.ndarray) -> np.ndarray:
 
 def distinct(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes of each row in ascending order, and where each row's begin."""
-    row = rows_of(ends)
-    order = np.argsort(hashes)
-    order = order[np.argsort(row[order].astype(np.uint16 if len(ends) < 60000 else np.int64), kind="stable")]
-    hashes, row = hashes[order], row[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-    out = np.zeros(len(ends), np.int64)
-    np.cumsum(np.bincount(row[new], minlength=len(ends) - 1), out=out[1:])
-    return hashes[new], out
+    hashes = hashes.copy()
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        hashes[a:b].sort()
+    new = np.ones(len(hashes) + 1, bool)
+    new[1:-1] = hashes[1:] != hashes[:-1]
+    new[ends] = True
+    out = np.concatenate([[0], np.cumsum(new[:-1])])[ends]
+    return hashes[new[:-1]], out
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two arrays of distinct values have in common."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def reduce_rows(ufunc: np.ufunc, values: np.ndarray, ends: np.ndarray, empty) -> np.ndarray:
