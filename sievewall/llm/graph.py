@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import materialize
+from ._io import discard, materialize
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         if tuple(state) == seen or not state[0]:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         seen = tuple(state)
-        now = materialize(_small(_large(now)), "edges")
+        before, now = now, materialize(_small(_large(now)), "edges")
+        discard(before)
 
 
 def _down(e: DataFrame) -> DataFrame:

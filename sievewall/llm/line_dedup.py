@@ -40,15 +40,28 @@ _EDGE = T.StructType([T.StructField(c, T.LongType()) for c in ("sd", "sn", "dd",
 
 
 def shingle_sets(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character shingles of each text, not distinct, and where each text's begin."""
+    """Hashes of the character shingles of each text, not distinct, and where each text's begin; ``k`` is a power of two."""
     cp, ends = _text.points(texts)
-    sums = _text.running(_VALUES[cp & 0xFFFF] + cp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    values = _VALUES[cp & 0xFFFF] + cp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     length = np.diff(ends)
-    n = np.where(length >= k, length - k + 1, np.minimum(length, 1))
+    short = (length > 0) & (length < k)
     cuts = np.zeros(len(ends), np.int64)
-    np.cumsum(n, out=cuts[1:])
-    start = np.arange(cuts[-1]) + np.repeat(ends[:-1] - cuts[:-1], n)
-    return _text.stretch(sums, start, start + np.repeat(np.minimum(length, k), n)), cuts
+    np.cumsum(np.where(short, 1, np.maximum(length - k + 1, 0)), out=cuts[1:])
+    rolled, width, base = values, 1, _text.BASE
+    while width < k:  # windows of twice the width from two of the width
+        rolled = rolled[:-width] * np.uint64(base) + rolled[width:]
+        width, base = 2 * width, base * base & 0xFFFFFFFFFFFFFFFF
+    whole = np.zeros(len(cp), np.uint64)
+    whole[: len(rolled)] = _text.mix(rolled)
+    keep = np.ones(len(cp), bool)
+    for j in range(1, k):  # windows that run over the end of their text
+        keep[np.maximum(ends[1:][length > 0] - j, 0)] = False
+    if short.any():
+        chars = np.repeat(short, length)
+        own = np.concatenate([[0], np.cumsum(length[short])])
+        whole[ends[:-1][short]] = _text.stretch(_text.running(values[chars]), own[:-1], own[1:])
+        keep[ends[:-1][short]] = True
+    return whole[keep], cuts
 
 
 def signatures(hashes: np.ndarray, cuts: np.ndarray, bins: int) -> np.ndarray:
@@ -97,16 +110,26 @@ def _compare(similarity: float):
             groups = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
             src, dst = [], []
             for a, b in zip(groups[:-1], groups[1:], strict=True):
-
-                def alike(i, others, a=a):
-                    x, y = np.minimum(sizes[a + others], sizes[a + i]), np.maximum(sizes[a + others], sizes[a + i])
-                    return np.where(x * 1000 >= top * y, x / np.maximum(y, 1), -1.0)
+                if b - a == 1:
+                    continue
 
                 def confirm(i, j, a=a):
                     x, y = hashes[cuts[a + i] : cuts[a + i + 1]], hashes[cuts[a + j] : cuts[a + j + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    both = _text.shared(x, y)
                     return both > 0 and both * 1000 >= top * (len(x) + len(y) - both)
 
+                if b - a == 2:  # most groups
+                    x, y = sizes[a], sizes[a + 1]
+                    apart = side[a] == side[a + 1] and side[a] != 2
+                    if not apart and min(x, y) * 1000 >= top * max(x, y) and confirm(0, 1):
+                        src.append(a)
+                        dst.append(a + 1)
+                    continue
+
+                def alike(i, others, a=a):
+                    x, y = np.minimum(sizes[a + others], sizes[a + i]), np.maximum(sizes[a + others], sizes[a + i])
+                    return np.where(x * 1000 >= top * y, x / np.maximum(y, 1), -1.0)
+
                 for i, j in forest(b - a, side[a:b], alike, confirm):
                     src.append(a + i)
                     dst.append(a + j)
@@ -127,12 +150,11 @@ def _keyed(lines: DataFrame) -> DataFrame:
 
 
 def _has_text(line: str = "line"):
-    return F.col(line).rlike(r"\S")
+    return F.btrim(F.col(line), F.lit(" \t\n\x0b\f\r")) != ""
 
 
 def line_components(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, line_no, keep_doc_id, keep_line_no, kept), a row for each line of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
     lines = _keyed(_lines(docs))
     linking = lines.where(_has_text() & F.col("doc_id").isNotNull())
     first = F.min(F.struct(F.col("doc_id").alias("d"), F.col("line_no").cast("long").alias("n"))).alias("first")
@@ -141,16 +163,18 @@ def line_components(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     bands = _io.materialize(classes.select("k1", "line").mapInArrow(_bands, _BAND), "bands")
     # counts are combined before the shuffle, and a hot band is split by the skewed join: no task meets all of one
     shared = _io.materialize(bands.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "shared")
-    members = _io.materialize(bands.join(shared, "node"), "members")
+    members = _io.materialize(bands.join(shared.hint("shuffle_hash"), "node"), "members")
     _io.discard(bands)
+    _io.discard(shared)
     groups = members.groupBy("node").agg(F.count("*").alias("size"), F.min("k1").alias("low"), F.sum(F.xxhash64("k1").cast("decimal(20,0)")).alias("all"))
     groups = _io.materialize(groups.groupBy("size", "low", "all").agg(F.min("node").alias("node")).select("node", "size"), "groups")
-    members = members.join(groups, "node")
-    cells = tiles(members.join(classes.select("k1", "d", "n", "line"), "k1").drop("k1"), "node", "size", ["d", "n"], TILE)
+    grouped = members.join(groups, "node")
+    cells = tiles(grouped.join(classes.select("k1", "d", "n", "line"), "k1").drop("k1"), "node", "size", ["d", "n"], TILE)
     edges = _deal(cells, "cell").mapInArrow(_compare(similarity), _EDGE)
     links = edges.select(F.struct(F.col("sd").alias("d"), F.col("sn").alias("n")).alias("src"), F.struct(F.col("dd").alias("d"), F.col("dn").alias("n")).alias("dst"))
     joined = components(links).select(F.col("id.d").alias("d"), F.col("id.n").alias("n"), F.col("component.d").alias("cd"), F.col("component.n").alias("cn"))
-    _io.reclaim(spark)
+    _io.discard(members)
+    _io.discard(groups)
     named = classes.select("k1", "k2", "d", "n").join(joined, ["d", "n"], "left").select("k1", "k2", F.coalesce("cd", "d").alias("keep_doc_id"), F.coalesce("cn", "n").alias("keep_line_no"))
     told = linking.select("doc_id", "line_no", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "keep_doc_id", "keep_line_no")
     rest = lines.where(~_has_text() | F.col("doc_id").isNull()).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("doc_id").alias("keep_doc_id"), F.col("line_no").cast("long").alias("keep_line_no"))

@@ -164,7 +164,7 @@ def _compare(least: float):
 
 def _candidates(items: DataFrame, trees: list[int], labels: DataFrame | None, least: float) -> list[DataFrame]:
     """Edges between items that nodes of the trees hold alike. labels: (item, label) of what is joined already."""
-    found, level = [], items
+    found, level, passing = [], items, []
     named = items.select("item", F.col("item").alias("label")) if labels is None else items.select("item").join(labels, "item", "left").withColumn("label", F.coalesce("label", "item"))
     for depth in range(1, DEPTH + 1):
         nodes = _io.materialize(_grow(level, trees if depth == 1 else None), "nodes")
@@ -172,11 +172,14 @@ def _candidates(items: DataFrame, trees: list[int], labels: DataFrame | None, le
         stats = told.groupBy("node").agg(F.count("*").alias("size"), F.min("item").alias("low"), F.sum(F.xxhash64("item").cast("decimal(20,0)")).alias("all"), *([] if labels is None else [F.min("label").alias("x"), F.max("label").alias("y")]))
         stats = stats.where("size > 1" if labels is None else "size > 1 and x <> y")
         stats = _io.materialize(stats.groupBy("size", "low", "all").agg(F.min("node").alias("node")).select("node", "size"), "sizes")
+        passing += [nodes, stats]
         large = F.lit(False) if depth == DEPTH else F.col("size") > LEAF
         leaves = nodes.join(stats.where(~large), "node").join(items, "item")
         found.append(_io.materialize(_deal(tiles(leaves, "node", "size", ["item"], TILE), "cell").mapInArrow(_compare(least), _EDGE), "candidates"))
         if depth == DEPTH or stats.where(large).isEmpty():
-            return found
+            for written in passing:
+                _io.discard(written)
+            break
         level = nodes.join(stats.where(large).select("node"), "node").join(items, "item")
     return found
 
@@ -219,7 +222,7 @@ def _confirm(similarity: float, least: float):
 
                 def confirm(i, j, own=own):
                     x, y = own[i], own[j]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    both = _text.shared(x, y)
                     return both > 0 and both * 1000 >= top * (len(x) + len(y) - both)
 
                 for i, j in forest(b - a, side[a:b], alike, confirm):
