@@ -12,7 +12,8 @@ it writes, the stretch of source characters that it stands for:
   them a plus sign, "double" and "triple" repeat the next).
 
 What is found in the rewritten text, and wasn't plain, is mapped back to the
-stretch of source characters. It is added where it overlaps no other span of its kind.
+stretch of source characters. It is added unless a span of its kind holds all of it;
+so a partly disguised identifier is added beside the plain span of its undisguised part.
 
 A null text is empty and has no spans. Offsets are code points, ends exclusive.
 """
@@ -191,10 +192,10 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     text = text or ""
     base = plain(text)
     spans = list(base)
-    for kind, start, end in disguised(text):
-        if not any(k == kind and start < e and s < end for k, s, e in spans):
+    for kind, start, end in sorted(disguised(text), key=lambda x: x[1] - x[2]):  # the longest first
+        if not any(k == kind and s <= start and end <= e for k, s, e in spans):
             spans.append((kind, start, end))
-    order = lambda x: (KINDS.index(x[0]), x[1])
+    order = lambda x: (KINDS.index(x[0]), *x[1:])
     return sorted(base, key=order), sorted(spans, key=order)
 
 

@@ -111,6 +111,24 @@ def test_pii():
     assert Counter(x[0] for x in base) == {"card": 1, "ip": 1, "phone": 1, "email": 1}
 
 
+def test_pii_partly_disguised():
+    """The whole identifier is found beside the base span of its undisguised part, and hidden as a whole."""
+    said = {
+        "john (dot) smith@example.com": ("email", "smith@example.com"),
+        "john@example.c\u043em": ("email", "john@example.c"),
+        "j\u043ehn@example.com": ("email", "hn@example.com"),
+        "john@example.co (dot) uk": ("email", "john@example.co"),
+        "+1 555 123 456 seven eight nine": ("phone", "+1 555 123 456"),
+        "\uff111.2.3.4": ("ip", "1.2.3.4"),
+    }
+    for whole, (kind, part) in said.items():
+        text = f"see {whole}, or a@b.c"
+        base, spans = pii.find(text)
+        assert [text[a:b] for k, a, b in base if k == kind and text[a:b] != "a@b.c"] == [part]
+        assert set(base) < set(spans) and [(k, text[a:b]) for k, a, b in spans if (k, a, b) not in base] == [(kind, whole)]
+        assert pii.hide(text) == f"see [{kind.upper()}], or [EMAIL]"
+
+
 def test_pii_plain_is_what_the_patterns_say():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     r = random.Random(1)
