@@ -93,6 +93,34 @@ def test_lines(spark):
     assert not line_dedup.line_components(docs(spark, [])).count()
 
 
+def test_short_lines_with_one_edit(spark):
+    """Lines of 49 code points link with one character changed, lines of 85 with a word of five letters changed; equality with brute force."""
+    r, k = random.Random(9), line_dedup.K
+    plain = ["".join(r.choice("abcdefghijklmnop     ") for _ in range(n)) for n in (49, 60, 70, 78, 85, 100, 114)]
+    rows = [(i, f"{x}\n{x[: len(x) // 2]}#{x[len(x) // 2 + 1 :]}") for i, x in enumerate(plain)]
+    rows += [(50 + i, f"{x}\n{x[: len(x) // 2]}ZZZZZ{x[len(x) // 2 + 5 :]}") for i, x in enumerate("".join(r.choice("qrstuvwxyz   ") for _ in range(n)) for n in (40, 85, 100, 114))]
+    rows += [(90 + i, " ".join(x) + "\n" + " ".join([*x[:6], "other", *x[7:]])) for i, x in enumerate([r.choice(VOCABULARY) for _ in range(12)] for _ in range(12))]
+    lines = {(d, n): x for d, t in rows for n, x in enumerate(t.split("\n"))}
+    sets = {key: {x[i : i + k] for i in range(len(x) - k + 1)} for key, x in lines.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = groups(links, lines)
+    assert {((d, 0), (d, 1)) for d, _ in rows if d < 50 or 50 < d < 90} <= set(links) and ((50, 0), (50, 1)) not in links
+    out = {(x["doc_id"], x["line_no"]): (x["keep_doc_id"], x["keep_line_no"]) for x in line_dedup.line_components(docs(spark, rows)).collect()}
+    assert out == want
+
+
+def test_shingles_of_any_length():
+    texts = ["", "ab", "abc", "abcd", "xabcd", "é\U0001f600bcdefgh", "a" * 20]
+    for k in range(1, 9):
+        hashes, cuts = line_dedup.shingle_sets(texts, k)
+        assert np.diff(cuts).tolist() == [max(len(x) - k + 1, min(len(x), 1)) for x in texts]
+        known = {}
+        for x, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True):
+            for i, h in enumerate(hashes[a:b].tolist()):
+                assert known.setdefault(x[i : i + k] if len(x) >= k else x, h) == h
+        assert len(set(known.values())) == len(known)
+
+
 def test_pii():
     said = {
         "a john.doe (at) example (dot) com b": ("email", "john.doe (at) example (dot) com"),
