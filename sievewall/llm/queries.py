@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import embed_dedup, html, licenses, line_dedup, near_dedup, packing, pii, quality, sampling, syncmers, tokens
 from ._io import table
@@ -29,7 +30,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+    out = syncmers.fingerprints(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.sha2(c, 256) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

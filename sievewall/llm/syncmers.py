@@ -3,9 +3,15 @@
 A k-mer of code points is a closed syncmer if the least hash among its s-mers is
 that of its first or its last one. Whether a k-mer is chosen depends on nothing
 around it, so texts that share a passage choose the same anchors in it, wherever
-it stands; ``anchors`` gives them with their positions. A fingerprint keeps the
-``SKETCH`` least hashes of a text's distinct anchors; the likeness of two is the
-share, among the least hashes of both together, of those that are in both.
+it stands. A fingerprint is all of a text's anchors, each with its position.
+
+Two texts are aligned by the longest chain of equal anchors whose positions ascend in
+both. What the texts begin and end with alike is aligned at once; in between, of anchors
+that stand at several places the nth from the front or from the back is matched with the
+nth of the other text, so that the pairs don't grow with the square. The likeness
+is twice the chain's length over the anchors of both, so a passage counts wherever it
+stands, by its share, and passages that have changed places don't all count. The query
+gives each fingerprint's size and digest.
 
 A text shorter than k has its whole as its only anchor. A null text is empty; an
 empty text has an empty fingerprint, alike (1) to an empty one only.
@@ -14,6 +20,7 @@ empty text has an empty fingerprint, alike (1) to an empty one only.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import _io, _text
 
-K, S, SKETCH = 16, 9, 64
+K, S = 16, 9
 _VALUES = _text.keys(31, 0x10000)
 _LEAST = -(1 << 63)
 
@@ -58,22 +65,58 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     return _text.stretch(sums, at, np.minimum(at + k, ends[1:][row])), at - ends[:-1][row], cuts
 
 
-def sketches(texts: list[str]) -> list[np.ndarray]:
-    """The least hashes of each text's distinct anchors, 32 bits each, ascending."""
-    hashes, _, cuts = anchors(texts)
-    own, cuts = _text.distinct(hashes >> np.uint64(32), cuts)
-    return [own[a : min(b, a + SKETCH)].astype(np.uint32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def marks_of(texts: list[str]) -> list[np.ndarray]:
+    """All anchors of each text in order: hash (32 bits) and position."""
+    hashes, at, cuts = anchors(texts)
+    both = np.stack([hashes >> np.uint64(32), at.astype(np.uint64)], 1).astype(np.uint32)
+    return [both[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two arrays begin with alike."""
+    n = min(len(x), len(y))
+    differ = x[:n] != y[:n]
+    return int(differ.argmax()) if differ.any() else n
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value with its number among its equals, from the front and from the back."""
+    order = np.argsort(x, kind="stable")
+    first = np.flatnonzero(np.r_[True, x[order][1:] != x[order][:-1]])
+    n = np.diff(np.r_[first, len(x)])
+    front = np.empty(len(x), np.uint64)
+    front[order] = np.arange(len(x)) - np.repeat(first, n)
+    last = np.empty(len(x), np.uint64)
+    last[order] = np.repeat(n - 1, n)
+    high = x.astype(np.uint64) << np.uint64(32)
+    return high | front, high | (last - front)
+
+
+def aligned(x: np.ndarray, y: np.ndarray) -> int:
+    """The length of the longest chain of equal values that ascends in both."""
+    head = _same(x, y)
+    x, y = x[head:], y[head:]
+    tail = _same(x[::-1], y[::-1])
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    if not len(x) or not len(y):
+        return head + tail
+    pairs = [np.intersect1d(a, b, assume_unique=True, return_indices=True)[1:] for a, b in zip(_numbered(x), _numbered(y), strict=True)]
+    i, j = np.divmod(np.unique(np.concatenate([i * len(y) + (len(y) - 1 - j) for i, j in pairs])), len(y))  # of one i, the last j first
+    ends: list[int] = []
+    for at in (len(y) - 1 - j).tolist():
+        k = bisect_left(ends, at)
+        ends[k : k + 1] = [at]
+    return head + tail + len(ends)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:SKETCH]
-    return float(np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(both))
+    return 2 * aligned(a[:, 0], b[:, 0]) / (len(a) + len(b))
 
 
-def told(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+def told(marks: np.ndarray) -> str:
+    return marks.astype(">u4").tobytes().hex()
 
 
 _SCHEMA = T.StructType([
@@ -127,7 +170,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if rows:
                 own = [x[3] for x in held]
                 edited = [own[i][: len(own[i]) - len(own[i]) // 4] + own[i + 1][: len(own[i]) // 4] for i in rows]
-                marks = sketches([*own, *edited])
+                marks = marks_of([*own, *edited])
                 late = marks[len(own) :]
                 yield _io.to_batch(_SCHEMA, {
                     "doc_id": [held[i][2] for i in rows], "n_chars": [len(own[i]) for i in rows], "edited_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in edited],

@@ -246,6 +246,29 @@ def test_syncmers(spark):
     assert not syncmers.fingerprints(docs(spark, [])).count()
 
 
+def test_fingerprints_keep_all_anchors_and_their_order(spark):
+    r = random.Random(6)
+    a, b, passage = (" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)) for n in (4000, 4000, 50))
+    long = [f"{a} {passage}", f"{passage} {b}", f"{b} {a}", f"{a} {b}"]
+    marks = syncmers.marks_of(long)
+    hashes, at, cuts = syncmers.anchors(long)
+    assert [len(x) for x in marks] == np.diff(cuts).tolist() and np.concatenate(marks)[:, 1].tolist() == at.tolist()
+    assert syncmers.aligned(marks[0][:, 0], marks[1][:, 0]) > 40 and syncmers.likeness(marks[0], marks[1]) > 0
+    assert 0.4 < syncmers.likeness(marks[2], marks[3]) < 0.6 and syncmers.likeness(marks[2], marks[2]) == 1
+    for m in (6, 500):
+        for _ in range(200):
+            x, y = (np.array([r.randrange(m) for _ in range(r.randint(0, 12))], np.uint32) for _ in range(2))
+            best = np.zeros((len(x) + 1, len(y) + 1), int)
+            for i, u in enumerate(x):
+                for j, v in enumerate(y):
+                    best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + (u == v))
+            got = syncmers.aligned(x, y)
+            assert got <= best[-1, -1] and (got == best[-1, -1] or len(set(x)) < len(x) or len(set(y)) < len(y))
+    out = {x["doc_id"]: x for x in syncmers.fingerprints(docs(spark, list(enumerate(long)))).collect()}
+    assert [len(out[i]["fingerprint"]) for i in range(4)] == [16 * len(x) for x in marks]
+    assert out[0]["near_next"] == syncmers.likeness(marks[0], marks[1]) and out[2]["near_next"] < 0.6
+
+
 def test_html():
     weights, pair = html.model()
     page = '<html><head><title>t</title><script>"</p>"</script></head><body><nav><a href=/>menu</a></nav><!-- c --><div class="ad">Buy this now</div><article><h1>Head &amp; line</h1><p>One<br>two   <b>three</b><p>Four &lt;five</article><div id="comments"><p>Nice text, thanks</p></div><footer>&copy; x</footer></body></html>'
