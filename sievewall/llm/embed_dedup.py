@@ -33,7 +33,6 @@ from pyspark.sql import types as T
 
 from . import _io
 from .graph import components
-from .near_dedup import _deal, tiles
 
 TILE, ROWS = 4096, 1024
 #: Slack for the rounding of single precision in the scaled products, far above what it can reach.
@@ -143,6 +142,21 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _io.to_batch(_PACKED, {"vec_id": batch.column(0), "vector": raw, "width": np.diff(ends).astype(np.int32)})
 
 
+def tiles(members: DataFrame, key: str, size: str, by: list[str], tile: int) -> DataFrame:
+    """Deal the rows of each group to the cells of a square of blocks; adds ``cell`` and ``side``.
+
+    A group of at most ``tile`` rows is one cell. A larger one is cut into blocks of about ``tile``
+    rows; cell (i, j) gets block i as side 0 and block j as side 1, and cell (i, i) has all of block i.
+    """
+    n = F.ceil(F.col(size) / F.lit(tile)).cast("int")
+    block = F.pmod(F.xxhash64(F.lit(7), *by), n).cast("int")
+    cells = F.transform(
+        F.sequence(F.lit(0), F.col("_n") - 1),
+        lambda j: F.struct(F.xxhash64(F.col(key), F.least("_b", j), F.greatest("_b", j)).alias("cell"), F.when(j == F.col("_b"), F.lit(2)).when(j > F.col("_b"), F.lit(0)).otherwise(F.lit(1)).alias("side")),
+    )
+    return members.withColumn("_n", n).withColumn("_b", block).withColumn("_c", F.explode(cells)).select("*", F.col("_c.cell").alias("cell"), F.col("_c.side").alias("side")).drop("_n", "_b", "_c", key, size)
+
+
 def near_embeddings(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of ``vectors`` (vec_id, embedding)."""
     rows = _io.pick(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
@@ -155,7 +169,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     # blocks shrink for few vectors, so that there are some dozens of tiles to deal out
     sizes = sizes.withColumn("size", F.greatest("size", F.least(F.lit(TILE * 7 + 1), F.col("size") * 16)).cast("long"))
     cells = tiles(items.join(F.broadcast(sizes), "width").withColumn("group", F.col("width")), "group", "size", ["item"], TILE)
-    found = _io.materialize(_deal(cells, "cell").mapInArrow(_tile(threshold), _FOUND), "tiles")
+    found = _io.materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_tile(threshold), _FOUND), "tiles")
     counts = found.groupBy("item").agg(F.sum("links").alias("links"))
     joined = components(found.select("item", "rep"), "item", "rep").toDF("item", "component")
     named = classes.join(counts, "item", "left").join(joined, "item", "left").select("digest", "width", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "item").alias("component"))

@@ -13,12 +13,12 @@ document id, then line number; the others go. Lines of white space alone stay.
    probability above 0.996, one at 0.9 above 0.99999.
 3. Classes that share a band are compared exactly, on their whole sets, within the
    band's group; pairs whose ends are joined by confirmed links already are passed
-   over, and so are bands that hold the same classes as another. Groups of more than
-   ``TILE`` are compared in square tiles. No group has a cap.
-4. Union-find over the confirmed links runs as alternating stars, distributed.
+   over, and so are bands that hold the same classes as another. Large groups are
+   compared in blocks (``groups``). No group has a cap.
+4. Union-find over the confirmed links is distributed (``graph``).
 
-A null text is empty. Lines of rows without an id link with nothing and stay. Rows
-that share an id count as one document: their lines of one number are one vertex.
+A null text is empty. Lines of rows without an id link with nothing and stay. Repeated
+rows, of one id and text, are one document: both keep or lose a line.
 """
 
 from __future__ import annotations
@@ -27,18 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _io, _text
+from . import _io, _text, groups
 from .graph import components
-from .near_dedup import _deal, forest, tiles
 
-K, BANDS, ROWS, TILE = 5, 14, 5, 2048
+K, BANDS, ROWS = 5, 14, 5
+#: Bands of a shuffle partition, in the mean, that a task may hold in a hash table.
+HASHED = 1 << 20
 _VALUES = _text.keys(41, 0x10000)
-_BAND = T.StructType([T.StructField("node", T.LongType()), T.StructField("k1", T.LongType())])
-_EDGE = T.StructType([T.StructField(c, T.LongType()) for c in ("sd", "sn", "dd", "dn")])
+_BAND = T.StructType([T.StructField("group", T.LongType()), T.StructField("item", T.LongType())])
 
 
 def shingle_sets(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -89,62 +89,61 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in _text.text_lists(batch.column("line")):
             sig = signatures(*shingle_sets(texts), BANDS * ROWS).astype(np.uint64)
-            ids = batch.column("k1").slice(first, len(texts)).to_numpy()
+            ids = batch.column("item").slice(first, len(texts)).to_numpy()
             node = np.empty((len(texts), BANDS), np.uint64)
             for i in range(BANDS):
                 h = np.full(len(texts), i + 1, np.uint64)
                 for j in range(ROWS):
                     h = _text.mix(h * np.uint64(_text.BASE) + sig[:, i * ROWS + j])
                 node[:, i] = h
-            yield _io.to_batch(_BAND, {"node": node.ravel().view(np.int64), "k1": np.repeat(ids, BANDS)})
+            yield _io.to_batch(_BAND, {"group": node.ravel().view(np.int64), "item": np.repeat(ids, BANDS)})
 
 
 def _compare(similarity: float):
     top = round(similarity * 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _io.whole_groups(batches, "cell"):
-            t = table.combine_chunks()
-            cell, side, d, n = (t.column(c).to_numpy() for c in ("cell", "side", "d", "n"))
-            hashes, cuts = shingle_sets(t.column("line").to_pylist())
-            hashes, cuts = _text.distinct(hashes, cuts)
-            sizes = np.diff(cuts)
-            groups = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+        for t, item, side, label, starts in groups.cells(batches):
+            hashes, cuts = _text.distinct(*shingle_sets(t.column("line").to_pylist()))
+            sizes, cuts = np.diff(cuts), cuts.tolist()
             src, dst = [], []
-            for a, b in zip(groups[:-1], groups[1:], strict=True):
-                if b - a == 1:
-                    continue
-
-                def confirm(i, j, a=a):
-                    x, y = hashes[cuts[a + i] : cuts[a + i + 1]], hashes[cuts[a + j] : cuts[a + j + 1]]
-                    both = _text.shared(x, y)
-                    return both > 0 and both * 1000 >= top * (len(x) + len(y) - both)
-
-                if b - a == 2:  # most groups
-                    x, y = sizes[a], sizes[a + 1]
-                    apart = side[a] == side[a + 1] and side[a] != 2
-                    if not apart and min(x, y) * 1000 >= top * max(x, y) and confirm(0, 1):
-                        src.append(a)
-                        dst.append(a + 1)
-                    continue
-
-                def alike(i, others, a=a):
-                    x, y = np.minimum(sizes[a + others], sizes[a + i]), np.maximum(sizes[a + others], sizes[a + i])
+
+            def confirm(i, j, hashes=hashes, cuts=cuts):
+                x, y = hashes[cuts[i] : cuts[i + 1]], hashes[cuts[j] : cuts[j + 1]]
+                both = _text.shared(x, y)
+                return both > 0 and both * 1000 >= top * (len(x) + len(y) - both)
+
+            pairs = starts[:-1][np.diff(starts) == 2]  # most cells
+            fits = np.minimum(sizes[pairs], sizes[pairs + 1]) * 1000 >= top * np.maximum(sizes[pairs], sizes[pairs + 1])
+            for a in pairs[fits & ((side[pairs] == 2) | (side[pairs] != side[pairs + 1])) & (label[pairs] != label[pairs + 1])].tolist():
+                if confirm(a, a + 1):
+                    src.append(a)
+                    dst.append(a + 1)
+            more = np.flatnonzero(np.diff(starts) > 2)
+            for a, b in zip(starts[more].tolist(), starts[more + 1].tolist(), strict=True):
+                own = sizes[a:b]
+
+                def alike(i, others, own=own):
+                    x, y = np.minimum(own[others], own[i]), np.maximum(own[others], own[i])
                     return np.where(x * 1000 >= top * y, x / np.maximum(y, 1), -1.0)
 
-                for i, j in forest(b - a, side[a:b], alike, confirm):
+                for i, j in groups.forest(side[a:b], label[a:b], alike, lambda i, j, a=a: confirm(a + i, a + j)):
                     src.append(a + i)
                     dst.append(a + j)
-            src, dst = np.array(src, np.int64), np.array(dst, np.int64)
-            yield _io.to_batch(_EDGE, {"sd": d[src], "sn": n[src], "dd": d[dst], "dn": n[dst]})
+            yield groups.to_edges(item, src, dst)
 
     return run
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of all lines."""
+    """(doc_id, doc, line_no, line) of all lines; doc: a hash of the whole text."""
     rows = _io.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = rows.select("doc_id", _doc("text").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def _doc(text: str | Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _keyed(lines: DataFrame) -> DataFrame:
@@ -155,38 +154,61 @@ def _has_text(line: str = "line"):
     return F.btrim(F.col(line), F.lit(" \t\n\x0b\f\r")) != ""
 
 
-def line_components(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, line_no, keep_doc_id, keep_line_no, kept), a row for each line of ``docs`` (doc_id, text)."""
+def _told(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, doc, line_no, keep_doc_id, keep_line_no) of each line."""
     lines = _keyed(_lines(docs))
     linking = lines.where(_has_text() & F.col("doc_id").isNotNull())
-    first = F.min(F.struct(F.col("doc_id").alias("d"), F.col("line_no").cast("long").alias("n"))).alias("first")
-    classes = linking.groupBy("k1", "k2").agg(first, F.first("line").alias("line")).select("k1", "k2", "first.d", "first.n", "line")
-    classes = _io.materialize(classes, "lines")
-    bands = _io.materialize(classes.select("k1", "line").mapInArrow(_bands, _BAND), "bands")
+    first = F.min(F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("n"))).alias("first")
+    classes = linking.groupBy("k1", "k2").agg(first, F.first("line").alias("line"), F.count("*").alias("lines"))
+    classes = _io.materialize(classes.select(F.monotonically_increasing_id().alias("item"), "k1", "k2", "first.d", "first.n", "lines", "line"), "lines")
+    bands = _io.materialize(classes.select("item", "line").mapInArrow(_bands, _BAND), "bands")
     # counts are combined before the shuffle, and a hot band is split by the skewed join: no task meets all of one
-    shared = _io.materialize(bands.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "shared")
-    members = _io.materialize(bands.join(shared.hint("shuffle_hash"), "node"), "members")
+    shared = _io.materialize(bands.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "shared")
+    hashed = shared.count() <= HASHED * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = _io.materialize(bands.join(shared.hint("shuffle_hash") if hashed else shared, "group"), "members")
     _io.discard(bands)
     _io.discard(shared)
-    groups = members.groupBy("node").agg(F.count("*").alias("size"), F.min("k1").alias("low"), F.sum(F.xxhash64("k1").cast("decimal(20,0)")).alias("all"))
-    groups = _io.materialize(groups.groupBy("size", "low", "all").agg(F.min("node").alias("node")).select("node", "size"), "groups")
-    grouped = members.join(groups, "node")
-    cells = tiles(grouped.join(classes.select("k1", "d", "n", "line"), "k1").drop("k1"), "node", "size", ["d", "n"], TILE)
-    edges = _deal(cells, "cell").mapInArrow(_compare(similarity), _EDGE)
-    links = edges.select(F.struct(F.col("sd").alias("d"), F.col("sn").alias("n")).alias("src"), F.struct(F.col("dd").alias("d"), F.col("dn").alias("n")).alias("dst"))
-    joined = components(links).select(F.col("id.d").alias("d"), F.col("id.n").alias("n"), F.col("component.d").alias("cd"), F.col("component.n").alias("cn"))
+    sizes = members.groupBy("group").agg(F.count("*").alias("size"), F.min("item").alias("low"), F.sum(F.xxhash64("item").cast("decimal(20,0)")).alias("all"))
+    sizes = _io.materialize(sizes.groupBy("size", "low", "all").agg(F.min("group").alias("group")).select("group", "size"), "sizes")
+    links = groups.link(members, sizes, classes.select("item", "line"), _compare(similarity))
+    joined = _io.materialize(components(links).toDF("item", "component"), "joined")
     _io.discard(members)
-    _io.discard(groups)
-    named = classes.select("k1", "k2", "d", "n").join(joined, ["d", "n"], "left").select("k1", "k2", F.coalesce("cd", "d").alias("keep_doc_id"), F.coalesce("cn", "n").alias("keep_line_no"))
-    told = linking.select("doc_id", "line_no", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "keep_doc_id", "keep_line_no")
-    rest = lines.where(~_has_text() | F.col("doc_id").isNull()).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("doc_id").alias("keep_doc_id"), F.col("line_no").cast("long").alias("keep_line_no"))
-    return told.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no")))
+    _io.discard(sizes)
+    own = classes.select("item", "k1", "k2", "d", "n", "lines")
+    least = joined.join(own, "item").groupBy("component").agg(F.min(F.struct("d", "n")).alias("least"))
+    # a line that is the only one of its class, and isn't joined to another, keeps itself
+    named = own.join(joined.join(least, "component"), "item", "left").where("lines > 1 or component is not null").select("k1", "k2", F.coalesce("least.d", "d").alias("cd"), F.coalesce("least.n", "n").alias("cn"))
+    links_at = _has_text() & F.col("doc_id").isNotNull()  # the others have no key, and are dealt out evenly
+    found = lines.select("doc_id", "doc", "line_no", F.when(links_at, F.col("k1")).alias("k1"), F.when(links_at, F.col("k2")).otherwise(F.xxhash64("doc", "line_no")).alias("k2")).join(named, ["k1", "k2"], "left")
+    return found.select("doc_id", "doc", "line_no", F.coalesce("cd", "doc_id").alias("keep_doc_id"), F.coalesce("cn", "line_no").alias("keep_line_no"))
+
+
+def line_components(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, line_no, keep_doc_id, keep_line_no, kept), a row for each line of ``docs`` (doc_id, text)."""
+    return _told(docs, similarity).drop("doc").withColumn("kept", F.expr(_KEPT))
+
+
+_KEPT = "(doc_id <=> keep_doc_id and line_no = keep_line_no)"
 
 
 def drop_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the lines that aren't kept. A text that loses all its lines becomes empty; a null text stays null."""
-    gone = line_components(docs, similarity).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    parts = F.filter(F.split(docs["text"], "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(parts, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    """``docs`` without the lines that aren't kept. A text that loses all its lines becomes empty; a null text stays null.
+
+    Lines are dropped by id and text, so rows that share an id but not their text lose only their own.
+    """
+    gone = _told(docs, similarity).where(f"not {_KEPT}").groupBy("doc_id", "doc").agg(F.collect_set("line_no").alias("_gone")).toDF("_id", "_doc", "_gone")
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lost, texts = batch.column(len(schema)), batch.column(at).to_pylist()
+            for i in np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                own = set(lost[i].as_py())
+                texts[i] = "\n".join(line for n, line in enumerate(texts[i].split("\n")) if n not in own)
+            columns = batch.columns[: len(schema)]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[: len(schema)]))
+
+    own = docs.select(*[docs[c] for c in docs.columns])
+    joined = own.join(gone, (own["doc_id"].cast("long") == gone["_id"]) & (_doc(own["text"]) == gone["_doc"]), "left")
+    return joined.select(*[own[c] for c in docs.columns], gone["_gone"]).mapInArrow(run, schema)

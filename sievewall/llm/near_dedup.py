@@ -4,24 +4,21 @@ A document's set is its distinct shingles of ``k`` words. Documents link where
 the Jaccard similarity of their sets is at least ``similarity``, confirmed on the
 full sets; a component keeps its document with the least id.
 
-1. Every text becomes a size, a 128-bit key of its set and ``WIDTH`` minwise
-   values, in one pass. Documents of equal sets become one item.
+1. Every text becomes a size, a 128-bit key of its set, eight bits of ``WIDTH``
+   minwise values, and its nodes in the first level of all trees, in one pass.
+   Documents of equal sets become one item.
 2. Chosen-path trees find the pairs to compare. A node selects coordinates of the
-   minwise values from its own path's hash, 1.25 in the mean (1 / 0.8, so that the
-   expected number of children that two documents of similarity 0.8 share is one
-   at every level); a document goes to the child named by each coordinate and its
-   value there. Nodes of more than ``LEAF`` items branch again, down to ``DEPTH``
-   levels; what is smaller, or as deep, is compared exhaustively, in square tiles
-   if it is large. Independent trees are repeated: with 16 trees a pair at 0.8
-   that must survive three levels is missed with a probability below 1e-6.
+   minwise values from its own path, 1.25 in the mean (1 / 0.8, so that the expected
+   number of children that two documents of similarity 0.8 share is one at every
+   level); a document goes to the child named by each coordinate and its value there.
+   Nodes of more than ``LEAF`` items branch again, down to ``DEPTH`` levels; what is
+   smaller, or as deep, is compared exhaustively (``groups``). Roots select different
+   coordinates, so a pair at 0.8 in nodes that needn't branch is missed with a
+   probability of 0.2 ** 15; if all its nodes branch twice, below 0.001.
    Comparison within a node is of minwise values, with a margin of five standard
-   deviations below ``similarity``; it yields a spanning forest, not pairs.
-3. The first trees' forest joins items into coarse components; later trees then
-   pass over nodes whose items are all joined already, and over nodes that hold
-   the same items as another.
-4. Within each coarse component the full sets are compared. A pair whose two ends
-   are joined by confirmed links already needs no comparison. Components of more
-   than ``TILE`` items are compared in square tiles.
+   deviations below ``similarity``; nodes that hold the same items are compared once.
+3. What the nodes join are coarse components. Within each, the full sets are compared;
+   a pair whose two ends are joined by confirmed links already needs no comparison.
 
 No bucket has a cap. Nulls: a null text is empty. Empty texts and texts without
 words have no set and link with nothing. Rows without an id link with nothing and
@@ -38,17 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _io, _text
+from . import _io, _text, groups
 from .graph import components
 
-WIDTH, TREES, FIRST_TREES, LEAF, DEPTH, TILE = 64, 16, 2, 128, 3, 2048
-#: Minwise values below which two sets aren't compared: five standard deviations below 0.8 of WIDTH values.
-MARGIN = 0.25
+WIDTH, TREES, LEAF, DEPTH = 128, 12, 256, 3
 
-_SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("sig", T.BinaryType())])
-_NODE = T.StructType([T.StructField("node", T.LongType()), T.StructField("item", T.LongType())])
-_EDGE = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
-_SET = T.StructType([T.StructField("comp", T.LongType()), T.StructField("size", T.LongType()), T.StructField("item", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+_SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("nodes", T.ArrayType(T.LongType()))])
+_NODE = T.StructType([T.StructField("group", T.LongType()), T.StructField("item", T.LongType())])
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -57,7 +50,22 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield chunk.first, *_text.distinct(hashes, ends)
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
+def _low(minwise: np.ndarray) -> np.ndarray:
+    return (minwise & np.uint32(0xFF)).astype(np.uint8)
+
+
+def _child(node: np.ndarray, pick: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return _text.mix(_text.mix(node + pick.astype(np.uint64)) ^ value.astype(np.uint64)).view(np.int64)
+
+
+def roots(minwise: np.ndarray, trees: int) -> np.ndarray:
+    """The nodes of each row in the first level of all trees: every fourth root selects two coordinates, no two the same."""
+    pick = np.arange(trees + trees // 4)
+    tree = np.r_[np.arange(trees), np.arange(trees // 4) * 4]
+    return _child(_text.keys(17, trees)[tree][None, :], pick[None, :], minwise[:, pick])
+
+
+def sketches(docs: DataFrame, k: int, trees: int) -> DataFrame:
     seeds = _text.keys(9, WIDTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,122 +73,100 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             for first, hashes, ends in _sets(batch.column(1), k):
                 n = np.diff(ends)
                 totals = [_text.reduce_rows(np.add, _text.mix(hashes ^ np.uint64(x)), ends, np.uint64(0)).view(np.int64) for x in (3, 5)]
-                yield _io.to_batch(_SKETCH, {"doc_id": batch.column(0).slice(first, len(n)), "n_shingles": n, "s1": totals[0], "s2": totals[1], "sig": _io.binaries(_text.minhash(hashes, ends, seeds))})
+                minwise = _text.minhash(hashes, ends, seeds)
+                nodes = roots(minwise, trees)
+                nodes = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * nodes.shape[1], nodes.ravel())
+                yield _io.to_batch(_SKETCH, {"doc_id": batch.column(0).slice(first, len(n)), "n_shingles": n, "s1": totals[0], "s2": totals[1], "sig": _io.binaries(_low(minwise)), "nodes": nodes})
 
     return _io.pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, _SKETCH)
 
 
-def _branch(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def branch(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Children of each entry: the entry's number, and the child's name."""
     h = _text.mix(node.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
     rows = np.concatenate([np.arange(len(h)), np.flatnonzero(h % np.uint64(4) == 0)])
     second = (np.arange(len(rows)) >= len(h)).astype(np.uint64)
     pick = ((h[rows] >> (np.uint64(8) + np.uint64(24) * second)) % np.uint64(WIDTH)).astype(np.int64)
-    child = _text.mix(h[rows] + (sig[rows, pick].astype(np.uint64) << np.uint64(16)) + pick.astype(np.uint64))
-    return rows, child.view(np.int64)
+    return rows, _child(h[rows], pick, sig[rows, pick])
 
 
-def _grow(members: DataFrame, roots: list[int] | None) -> DataFrame:
-    """(node, item) of the next level below ``members`` (node, item, sig); from the roots of trees at first."""
-    start = None if roots is None else _text.keys(17, max(roots) + 1)[roots].view(np.int64)
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, item) of the level below (group, item, sig)."""
+    for batch in batches:
+        rows, child = branch(batch.column("group").to_numpy(), _io.matrix(batch.column("sig"), WIDTH, np.uint8))
+        yield _io.to_batch(_NODE, {"group": child, "item": batch.column("item").to_numpy()[rows]})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig, item = _io.matrix(batch.column("sig"), WIDTH, np.uint32), batch.column("item").to_numpy()
-            for node in [batch.column("node").to_numpy()] if start is None else [np.full(len(item), x) for x in start]:
-                rows, child = _branch(node, sig)
-                yield _io.to_batch(_NODE, {"node": child, "item": item[rows]})
-
-    return members.mapInArrow(run, _NODE)
-
-
-def tiles(members: DataFrame, key: str, size: str, by: list[str], tile: int) -> DataFrame:
-    """Deal the rows of each group to the cells of a square of blocks; adds ``cell`` and ``side``.
-
-    A group of at most ``tile`` rows is one cell. A larger one is cut into blocks of about ``tile``
-    rows; cell (i, j) gets block i as side 0 and block j as side 1, and cell (i, i) has all of block i.
-    """
-    n = F.ceil(F.col(size) / F.lit(tile)).cast("int")
-    block = F.pmod(F.xxhash64(F.lit(7), *by), n).cast("int")
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("_n") - 1),
-        lambda j: F.struct(F.xxhash64(F.col(key), F.least("_b", j), F.greatest("_b", j)).alias("cell"), F.when(j == F.col("_b"), F.lit(2)).when(j > F.col("_b"), F.lit(0)).otherwise(F.lit(1)).alias("side")),
-    )
-    return members.withColumn("_n", n).withColumn("_b", block).withColumn("_c", F.explode(cells)).select("*", F.col("_c.cell").alias("cell"), F.col("_c.side").alias("side")).drop("_n", "_b", "_c", key, size)
-
-
-def _deal(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(key).sortWithinPartitions(key)
-
-
-def forest(n: int, side: np.ndarray, alike, confirm, distinct: int | None = None) -> list[tuple[int, int]]:
-    """Confirmed links that join all that links join, among ``n`` rows.
-
-    ``alike(i, others)`` says how alike row i may be to others (below 0: not at all);
-    ``confirm(i, j)`` decides. Rows of sides 0 and 1 are compared across; rows of side 2 with all.
-    """
-    label, out = np.arange(n), []
-    for i in range(n):
-        others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        if side[i] != 2:
-            others = others[side[others] != side[i]]
-        if not len(others):
-            continue
-        score = alike(i, others)
-        order = np.argsort(-score, kind="stable")
-        for j in others[order[: int((score >= 0).sum())]]:
-            if label[j] != label[i] and confirm(i, j):
-                out.append((i, int(j)))
-                label[label == label[j]] = label[i]
-    return out
+
+def _near(sig: np.ndarray, least: float):
+    def alike(i: int, others: np.ndarray) -> np.ndarray:
+        score = (sig[others] == sig[i]).mean(1)
+        return np.where(score >= least, score, -1.0)
+
+    return alike
 
 
 def _compare(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _io.whole_groups(batches, "cell"):
-            t = table.combine_chunks()
-            cell, item, side = (t.column(c).to_numpy() for c in ("cell", "item", "side"))
-            sig = _io.matrix(t.column("sig").combine_chunks(), WIDTH, np.uint32)
-            cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+        for t, item, side, label, cuts in groups.cells(batches):
+            sig = _io.matrix(t.column("sig").combine_chunks(), WIDTH, np.uint8)
             src, dst = [], []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a == 2 and side[a] == 2:
-                    links = [(0, 1)] if (sig[a] == sig[a + 1]).mean() >= least else []
-                else:
-                    s = sig[a:b]
-
-                    def alike(i, others, s=s):
-                        score = (s[others] == s[i]).mean(1)
-                        return np.where(score >= least, score, -1.0)
-
-                    links = forest(b - a, side[a:b], alike, lambda i, j: True)
-                for i, j in links:
-                    src.append(item[a + i])
-                    dst.append(item[a + j])
-            yield _io.to_batch(_EDGE, {"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                for i, j in groups.forest(side[a:b], label[a:b], _near(sig[a:b], least), lambda i, j: True):
+                    src.append(a + i)
+                    dst.append(a + j)
+            yield groups.to_edges(item, src, dst)
+
+    return run
+
+
+def _confirm(k: int, similarity: float, least: float):
+    top, seeds = round(similarity * 1000), _text.keys(9, WIDTH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, item, side, label, cuts in groups.cells(batches):
+            src, dst = [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                sets, sig = [], []
+                for _, hashes, ends in _sets(t.column("text").slice(a, b - a).combine_chunks(), k):
+                    sets += [hashes[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                    sig.append(_low(_text.minhash(hashes, ends, seeds)) if b - a > 2 else np.zeros((len(ends) - 1, 1), np.uint8))
+                size, near = np.array([len(x) for x in sets]), _near(np.concatenate(sig), least)
+
+                def alike(i, others, size=size, near=near):
+                    fits = np.minimum(size[others], size[i]) * 1000 >= top * np.maximum(size[others], size[i])
+                    return np.where(fits, near(i, others), -1.0)
+
+                def confirm(i, j, sets=sets):
+                    x, y = sets[i], sets[j]
+                    both = _text.shared(x, y)
+                    return both > 0 and both * 1000 >= top * (len(x) + len(y) - both)
+
+                for i, j in groups.forest(side[a:b], label[a:b], alike, confirm):
+                    src.append(a + i)
+                    dst.append(a + j)
+            yield groups.to_edges(item, src, dst)
 
     return run
 
 
-def _candidates(items: DataFrame, trees: list[int], labels: DataFrame | None, least: float) -> list[DataFrame]:
-    """Edges between items that nodes of the trees hold alike. labels: (item, label) of what is joined already."""
-    found, level, passing = [], items, []
-    named = items.select("item", F.col("item").alias("label")) if labels is None else items.select("item").join(labels, "item", "left").withColumn("label", F.coalesce("label", "item"))
+def _candidates(classes: DataFrame, least: float) -> DataFrame:
+    """Edges between items (item, sig, nodes) that nodes of the trees hold alike."""
+    items = classes.select("item", "sig")
+    level, keys, sizes, passing = classes.select(F.explode("nodes").alias("group"), "item"), [], [], []
     for depth in range(1, DEPTH + 1):
-        nodes = _io.materialize(_grow(level, trees if depth == 1 else None), "nodes")
-        told = nodes if labels is None else nodes.join(named, "item")
-        stats = told.groupBy("node").agg(F.count("*").alias("size"), F.min("item").alias("low"), F.sum(F.xxhash64("item").cast("decimal(20,0)")).alias("all"), *([] if labels is None else [F.min("label").alias("x"), F.max("label").alias("y")]))
-        stats = stats.where("size > 1" if labels is None else "size > 1 and x <> y")
-        stats = _io.materialize(stats.groupBy("size", "low", "all").agg(F.min("node").alias("node")).select("node", "size"), "sizes")
-        passing += [nodes, stats]
+        stats = level.groupBy("group").agg(F.count("*").alias("size"), F.min("item").alias("low"), F.sum(F.xxhash64("item").cast("decimal(20,0)")).alias("all")).where("size > 1")
+        stats = _io.materialize(stats.groupBy("size", "low", "all").agg(F.min("group").alias("group")).select("group", "size"), "sizes")
+        passing.append(stats)
         large = F.lit(False) if depth == DEPTH else F.col("size") > LEAF
-        leaves = nodes.join(stats.where(~large), "node").join(items, "item")
-        found.append(_io.materialize(_deal(tiles(leaves, "node", "size", ["item"], TILE), "cell").mapInArrow(_compare(least), _EDGE), "candidates"))
+        keys.append(level)
+        sizes.append(stats.where(~large))
         if depth == DEPTH or stats.where(large).isEmpty():
-            for written in passing:
-                _io.discard(written)
             break
-        level = nodes.join(stats.where(large).select("node"), "node").join(items, "item")
+        level = _io.materialize(level.join(stats.where(large).select("group"), "group").join(items, "item").mapInArrow(_grow, _NODE), "nodes")
+        passing.append(level)
+    found = groups.link(_union(keys), _union(sizes), items, _compare(least))
+    for written in passing:
+        _io.discard(written)
     return found
 
 
@@ -191,68 +177,18 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _sets_of(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, hashes, ends in _sets(batch.column("text"), k):
-                rest = {c: batch.column(c).slice(first, len(ends) - 1) for c in ("comp", "size", "item", "sig")}
-                yield _io.to_batch(_SET, rest | {"shingles": _io.ragged(hashes, ends)})
-
-    return run
-
-
-def _confirm(similarity: float, least: float):
-    top = round(similarity * 1000)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _io.whole_groups(batches, "cell"):
-            t = table.combine_chunks()
-            cell, item, side = (t.column(c).to_numpy() for c in ("cell", "item", "side"))
-            sig, sets = _io.matrix(t.column("sig").combine_chunks(), WIDTH, np.uint32), t.column("shingles")
-            cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
-            src, dst = [], []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                own = [np.frombuffer(sets[i].as_py(), np.uint64) for i in range(a, b)]
-                size, s = np.array([len(x) for x in own]), sig[a:b]
-
-                def alike(i, others, s=s, size=size):
-                    score = (s[others] == s[i]).mean(1)
-                    fits = np.minimum(size[others], size[i]) * 1000 >= top * np.maximum(size[others], size[i])
-                    return np.where((score >= least) & fits, score, -1.0)
-
-                def confirm(i, j, own=own):
-                    x, y = own[i], own[j]
-                    both = _text.shared(x, y)
-                    return both > 0 and both * 1000 >= top * (len(x) + len(y) - both)
-
-                for i, j in forest(b - a, side[a:b], alike, confirm):
-                    src.append(item[a + i])
-                    dst.append(item[a + j])
-            yield _io.to_batch(_EDGE, {"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TREES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id, text)."""
-    least = similarity - MARGIN
-    sketch = _io.materialize(sketches(docs, k), "sketches")
+    least = similarity - 5 * (similarity * (1 - similarity) / WIDTH) ** 0.5
+    sketch = _io.materialize(sketches(docs, k, trees), "sketches")
     some = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("item"), F.first("sig").alias("sig"))
-    classes = _io.materialize(classes, "classes")
-    items = classes.select("item", "sig")
-    found = _candidates(items, list(range(min(FIRST_TREES, trees))), None, least)
-    if trees > FIRST_TREES:
-        coarse = components(_union(found)).toDF("item", "label")
-        found += _candidates(items, list(range(FIRST_TREES, trees)), coarse, least)
-    coarse = _io.materialize(components(_union(found)).toDF("item", "comp"), "coarse")
-    sizes = coarse.groupBy("comp").agg(F.count("*").alias("size"))
-    members = coarse.join(sizes, "comp").join(items, "item")
-    texts = _io.pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sets = texts.join(members, texts["doc_id"] == members["item"]).select("comp", "size", "item", "sig", "text").mapInArrow(_sets_of(k), _SET)
-    links = _deal(tiles(sets, "comp", "size", ["item"], TILE), "cell").mapInArrow(_confirm(similarity, least), _EDGE)
-    joined = components(links).toDF("item", "component")
+    classes = _io.materialize(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("item"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes")), "classes")
+    coarse = _io.materialize(components(_candidates(classes, least)).toDF("item", "group"), "coarse")
+    sizes = _io.materialize(coarse.groupBy("group").agg(F.count("*").alias("size")), "sizes")
+    texts = _io.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("item"), "text")
+    joined = components(groups.link(coarse, sizes, texts, _confirm(k, similarity, least))).toDF("item", "component")
     named = classes.select("s1", "s2", "item").join(joined, "item", "left").select("s1", "s2", F.coalesce("component", "item").alias("component"))
-    plain, rest = sketch.drop("sig").where("n_shingles > 0 and doc_id is not null"), sketch.drop("sig").where("n_shingles = 0 or doc_id is null")
+    rows = sketch.select("doc_id", "n_shingles", "s1", "s2")
+    plain, rest = rows.where("n_shingles > 0 and doc_id is not null"), rows.where("n_shingles = 0 or doc_id is null")
     out = plain.join(named, ["s1", "s2"]).select("doc_id", "n_shingles", "component").union(rest.select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
