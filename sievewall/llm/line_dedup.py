@@ -35,6 +35,8 @@ from . import _io, _text, groups
 from .graph import components
 
 K, BANDS, ROWS = 5, 14, 5
+#: Code points that are hashed at once.
+AT_ONCE = 1 << 17
 #: Bands of a shuffle partition, in the mean, that a task may hold in a hash table.
 HASHED = 1 << 20
 _VALUES = _text.keys(41, 0x10000)
@@ -43,18 +45,38 @@ _BAND = T.StructType([T.StructField("group", T.LongType()), T.StructField("item"
 
 def shingle_sets(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character shingles of each text, not distinct, and where each text's begin."""
+    found, cuts, first = [], [np.zeros(1, np.int64)], 0
+    while first < len(texts):  # as much at once as stays in a processor's cache
+        last, size = first + 1, len(texts[first])
+        while last < len(texts) and size + len(texts[last]) <= AT_ONCE:
+            size += len(texts[last])
+            last += 1
+        hashes, ends = _shingles(texts[first:last], k)
+        found.append(hashes)
+        cuts.append(cuts[-1][-1] + ends[1:])
+        first = last
+    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.concatenate(cuts)
+
+
+def _shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     cp, ends = _text.points(texts)
-    values = _VALUES[cp & 0xFFFF] + cp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    values = _VALUES[cp & 0xFFFF]
+    if len(cp) and cp.max() > 0xFFFF:
+        values += cp.astype(np.uint64) >> np.uint64(16) << np.uint64(48)
     length = np.diff(ends)
     short = (length > 0) & (length < k)
     cuts = np.zeros(len(ends), np.int64)
     np.cumsum(np.where(short, 1, np.maximum(length - k + 1, 0)), out=cuts[1:])
     windows = max(len(cp) - k + 1, 0)
-    rolled = values[:windows]
-    for j in range(1, k):
-        rolled = rolled * np.uint64(_text.BASE) + values[j : j + windows]
     whole = np.zeros(len(cp), np.uint64)
-    whole[: len(rolled)] = _text.mix(rolled)
+    rolled = whole[:windows]
+    rolled += values[:windows]
+    for j in range(1, k):
+        rolled *= np.uint64(_text.BASE)
+        rolled += values[j : j + windows]
+    rolled ^= rolled >> np.uint64(32)
+    rolled *= np.uint64(0xC4CEB9FE1A85EC53)
+    rolled ^= rolled >> np.uint64(32)
     keep = np.ones(len(cp), bool)
     for j in range(1, k):  # windows that run over the end of their text
         keep[np.maximum(ends[1:][length > 0] - j, 0)] = False
