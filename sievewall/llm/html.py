@@ -33,16 +33,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _io
+from . import _io, _text
 
-_TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
+#: A tag; quotes count after an equals sign only.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]+|=\s*(?:\"[^\"]*\"|'[^']*')|[\"'=])*+)>")
+#: A tag up to the next end sign, whatever its quotes.
+_TAG_AT_LEAST = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WHITE = re.compile(r"[\s\xa0]+")
 _NAME = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-RAW = frozenset("script style textarea title noscript template iframe object svg math canvas select option button datalist xmp head".split())
+#: Elements whose content is no markup, up to their own closing tag. Without one, the rest of the page is theirs if they are code; else they are passed over.
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in "script style textarea title xmp iframe noscript noembed noframes".split()}
+CODE = ("script", "style")
+#: Elements with markup that is never text of the page; one that is never closed is passed over.
+DROPPED = frozenset("head template object svg math canvas select optgroup option button datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br input".split())
 #: Elements that end an open paragraph.
 BLOCK = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
@@ -50,6 +57,8 @@ BLOCK = frozenset("address article aside blockquote center details dialog dd dir
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 _TAGS = "html body article main section div p h1 h2 h3 h4 ul ol li table tr td nav header footer aside form figure figcaption blockquote pre dl address details text".split()
+#: Elements that hold text themselves.
+_TEXT = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl table".split())
 #: Words of class, id and role, by what they speak of.
 _HINTS = {
     "main": "article articlebody entry content story post main body text",
@@ -62,7 +71,10 @@ _HINTS = {
     "share": "share sharing social byline author meta toolbar login search buttons",
 }
 _HINT = {w: k for k, words in _HINTS.items() for w in words.split()}
-FEATURES = [*(f"tag:{t}" for t in _TAGS), "tag:other", *(f"hint:{k}" for k in _HINTS), "links", "no_text", "hidden", "bias"]
+STEPS = 70
+#: Characters of pages whose trees are worked on at once.
+AT_ONCE = 1 << 18
+FEATURES = [*(f"tag:{t}" for t in _TAGS), "tag:other", *(f"hint:{k}" for k in _HINTS), "links", "no_text", "hidden", "top", "top_text", "most", "bias"]
 _AT = {f: i for i, f in enumerate(FEATURES)}
 
 
@@ -89,9 +101,14 @@ def _hints(attributes: str) -> frozenset[str]:
 
 def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Elements (parents first; inline ones belong to the element around them) and blocks (element, text) in page order."""
-    nodes, open_, blocks = [Node("html", -1)], [(0, "html")], []
+    nodes, blocks = [Node("html", -1)], []
+    open_ = [(0, "html", False)]  # element, name, whether its text is dropped
     text: list[str] = []
-    links, at, raw = 0, 0, ""
+    last_end = source.rfind(">")
+    lasts: dict[str, int] = {}
+    lower = ""
+    links = at = seek = 0
+    tag = _TAG
 
     def flush() -> None:
         said = _WHITE.sub(" ", entities.unescape("".join(text))).strip()
@@ -99,39 +116,70 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if said:
             blocks.append((open_[-1][0], said))
 
+    def say(said: str) -> None:
+        if said and not open_[-1][2]:
+            text.append(said)
+            if links:
+                nodes[open_[-1][0]].links += len(said.strip())
+
     def close(names: set[str] | frozenset[str], limits: set[str] | frozenset[str]) -> None:
         for i in range(len(open_) - 1, 0, -1):
             if open_[i][1] in names:
-                flush()
+                if not open_[i][2]:
+                    flush()
                 del open_[i:]
                 return
             if open_[i][1] in limits:
                 return
 
-    for m in _TAG.finditer(source):
-        name = (m[2] or "").lower()
-        if raw:
-            if m[1] and name == raw:
-                raw, at = "", m.end()
+    while (start := source.find("<", seek)) >= 0 and start < last_end:
+        if source.startswith("<!--", start):
+            say(source[at:start])
+            end = _COMMENT_END.search(source, start + 2)  # "<!-->" is a whole comment
+            at = seek = end.end() if end else len(source)
             continue
-        if m.start() < at:
+        if source[start + 1] in "!?" or source[start + 1] == "/" and not source[start + 2 : start + 3].isalpha():
+            say(source[at:start])
+            at = seek = source.index(">", start) + 1
             continue
-        said = source[at : m.start()]
-        if said:
-            text.append(said)
-            if links:
-                nodes[open_[-1][0]].links += len(said.strip())
-        at = m.end()
-        if not name:
+        m = tag.match(source, start)
+        if m is None and tag is _TAG and source[start + 1 : start + 2].isascii() and source[start + 1 : start + 2].isalpha() or m is None and source[start + 1] == "/" and tag is _TAG:
+            tag = _TAG_AT_LEAST  # from here on, no end sign stands outside of quotes
+            m = tag.match(source, start)
+        if m is None:
+            seek = start + 1
             continue
+        say(source[at:start])
+        at = seek = m.end()
+        name, dropped = m[2].lower(), open_[-1][2]
         if m[1]:
             if name == "a":
                 links = 0
             elif name not in INLINE and name not in VOID:
                 close({name}, frozenset())
         elif name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, m.end())
-            at = end.end() if end else m.end() if name == "head" else len(source)
+            end = RAW[name].search(source, at) if lasts.get(name, 0) >= 0 else None
+            if end:
+                at = seek = end.end()
+            elif name in CODE:
+                at = seek = len(source)
+            else:
+                lasts[name] = -1
+        elif name in DROPPED:
+            if name in ("svg", "math") and m[3].endswith("/"):
+                continue
+            if name not in lasts:
+                lower = lower or source.lower()
+                lasts[name] = lower.rfind(f"</{name}")
+            if name == "button":
+                close({"button"}, frozenset())
+            if lasts[name] >= at:
+                open_.append((open_[-1][0], name, True))
+        elif dropped:
+            if name == "body":
+                close({"head"}, frozenset())
+            elif name not in INLINE and name not in VOID and not m[3].endswith("/"):
+                open_.append((open_[-1][0], name, True))
         elif name == "br":
             text.append(" ")
         elif name == "a":
@@ -149,22 +197,33 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             links = 0
             nodes.append(Node(name, open_[-1][0], _hints(m[3])))
             nodes[open_[-1][0]].children.append(len(nodes) - 1)
-            open_.append((len(nodes) - 1, name))
-    text.append("" if raw else source[at:])
+            open_.append((len(nodes) - 1, name, False))
+    say(source[at:])
     flush()
     for i, said in blocks:
         nodes[i].size += len(said)
     return nodes, blocks
 
 
-def _indexes(node: Node) -> list[int]:
-    out = [_AT["bias"], _AT.get(f"tag:{node.tag}", _AT["tag:other"])]
-    out += [_AT["hidden"] if h == "hidden" else _AT[f"hint:{h}"] for h in node.hints]
-    if not node.size:
-        out.append(_AT["no_text"])
-    elif 2 * node.links > node.size:
-        out.append(_AT["links"])
-    return out
+def _indexes(nodes: list[Node]) -> list[list[int]]:
+    """The features that each element has."""
+    held = [x.size for x in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        held[nodes[i].parent] += held[i]
+    every = []
+    for node, free, size in zip(nodes, _free(nodes), held, strict=True):
+        out = [_AT["bias"], _AT.get(f"tag:{node.tag}", _AT["tag:other"])]
+        out += [_AT["hidden"] if h == "hidden" else _AT[f"hint:{h}"] for h in node.hints]
+        if not node.size:
+            out.append(_AT["no_text"])
+        elif 2 * node.links > node.size:
+            out.append(_AT["links"])
+        if free:
+            out.append(_AT["top_text" if node.tag in _TEXT else "top"])
+        if 2 * size > held[0]:
+            out.append(_AT["most"])
+        every.append(out)
+    return every
 
 
 def _free(nodes: list[Node]) -> list[bool]:
@@ -172,54 +231,51 @@ def _free(nodes: list[Node]) -> list[bool]:
     return [nodes[x.parent].tag in ("html", "body") for x in nodes]
 
 
-def marginals(parents: list[int], free: list[bool], own: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum-product on a tree whose parents come before their children.
+def levels(parents: list[int]) -> list[np.ndarray]:
+    """The nodes of each depth, the roots' first; parents (below 0: none) come before their children."""
+    depth = []
+    for p in parents:
+        depth.append(depth[p] + 1 if p >= 0 else 0)
+    depth = np.array(depth)
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
+
+
+def marginals(parents: list[int], free: list[bool], own: np.ndarray, pair: np.ndarray, by_depth: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sum-product on trees: messages upward, then downward, a depth at a time, in logarithms.
 
     own[i, s]: log potential of state s; pair[s, t]: of a parent in s over a child in t, unless the child is free.
-    Returns each node's marginal, and for each node but the root that of (its parent's state, its own).
+    Returns each node's marginal, and for each node but the roots that of (its parent's state, its own).
     """
-    n = len(parents)
-    ties = ((1.0, 1.0, 1.0, 1.0), tuple(np.exp(pair).ravel().tolist()))
-    scaled = np.exp(own - own.max(1, keepdims=True)).tolist()
-    up = [list(x) for x in scaled]
-    sent: list[tuple[float, float]] = [(1.0, 1.0)] * n
-    for i in range(n - 1, 0, -1):
-        a, b = up[i]
-        p00, p01, p10, p11 = ties[not free[i]]
-        x, y = p00 * a + p01 * b, p10 * a + p11 * b
-        total = x + y
-        sent[i] = (x / total, y / total)
-        over = up[parents[i]]
-        over[0] *= sent[i][0]
-        over[1] *= sent[i][1]
-        total = over[0] + over[1]
-        over[0] /= total
-        over[1] /= total
-    belief, edge = np.zeros((n, 2)), np.zeros((n, 2, 2))
-    down: list[tuple[float, float]] = [(1.0, 1.0)] * n
-    for i in range(n):
-        if i:
-            q = parents[i]
-            p00, p01, p10, p11 = ties[not free[i]]
-            rest = [down_up / max(s, 1e-300) for down_up, s in zip(belief[q].tolist(), sent[i], strict=True)]
-            a, b = up[i]
-            e = ((rest[0] * p00 * a, rest[0] * p01 * b), (rest[1] * p10 * a, rest[1] * p11 * b))
-            total = sum(map(sum, e))
-            edge[i] = np.array(e) / total
-            down[i] = (rest[0] * p00 + rest[1] * p10, rest[0] * p01 + rest[1] * p11)
-        a, b = up[i][0] * down[i][0], up[i][1] * down[i][1]
-        belief[i] = (a / (a + b), b / (a + b))
-    return belief, edge
-
-
-def content(nodes: list[Node], weights: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """The probability of main text for each element."""
-    own = np.zeros((len(nodes), 2))
-    own[:, 1] = [weights[_indexes(x)].sum() for x in nodes]
-    return marginals([x.parent for x in nodes], _free(nodes), own, pair)[0][:, 1]
-
-
-def training_pages(n: int = 140, seed: int = 6) -> list[tuple[str, list[str]]]:
+    by_depth = by_depth or levels(parents)
+    over = np.asarray(parents)
+    ties = np.where(np.asarray(free)[:, None, None], 0.0, pair[None])
+    up, sent = own.astype(np.float64), np.zeros((len(over), 2))
+    for at in by_depth[:0:-1]:
+        sent[at] = np.logaddexp(ties[at, :, 0] + up[at, :1], ties[at, :, 1] + up[at, 1:])
+        np.add.at(up, over[at], sent[at])
+    belief, edge = np.zeros((len(over), 2)), np.zeros((len(over), 2, 2))
+    at = by_depth[0]
+    belief[at] = up[at] - np.logaddexp(up[at, 0], up[at, 1])[:, None]
+    for at in by_depth[1:]:
+        both = (belief[over[at]] - sent[at])[:, :, None] + ties[at] + up[at][:, None, :]
+        both -= np.logaddexp.reduce(both.reshape(-1, 4), 1)[:, None, None]
+        edge[at] = np.exp(both)
+        belief[at] = np.logaddexp(both[:, 0], both[:, 1])
+    return np.exp(belief), edge
+
+
+def content(pages: list[list[Node]], weights: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
+    """The probability of main text for each element of each page."""
+    starts = np.cumsum([0, *map(len, pages)]).tolist()
+    parents = [x.parent + a if x.parent >= 0 else -1 for nodes, a in zip(pages, starts[:-1], strict=True) for x in nodes]
+    own = np.zeros((len(parents), 2))
+    own[:, 1] = [weights[found].sum() for nodes in pages for found in _indexes(nodes)]
+    belief = marginals(parents, [x for nodes in pages for x in _free(nodes)], own, pair)[0][:, 1]
+    return [belief[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
+def training_pages(n: int = 180, seed: int = 6) -> list[tuple[str, list[str]]]:
     """Labelled pages: html, and the main text's blocks. Layouts from a grammar, words without meaning."""
     r = random.Random(seed)
 
@@ -281,7 +337,14 @@ def training_pages(n: int = 140, seed: int = 6) -> list[tuple[str, list[str]]]:
 
         shape = r.random()
         hint = named(_HINTS["main"])
-        inner = f"<article>{body()}</article>" if shape < 0.5 else f"<main>{body()}</main>" if shape < 0.65 else f"<div {hint}>{body()}</div>" if shape < 0.85 else f"<main><article {hint}>{body()}</article>{junk('comment')}</main>"
+        if r.random() < 0.15:  # next to nothing but the text
+            few = "".join(block("p", 1, 60) for _ in range(r.randint(1, 3)))
+            if r.random() < 0.2:  # not even a paragraph
+                few = said[0]
+                del said[1:]
+            out.append((r.choice(["<body>{}</body>", "<body><article>{}</article></body>", "{}", "<html><body><div>{}</div></body></html>", "<main>{}</main>", "<body><nav>" + links(3) + "</nav>{}</body>"]).format(few), said))
+            continue
+        inner = f"<article>{body()}</article>" if shape < 0.45 else f"<main>{body()}</main>" if shape < 0.6 else f"<div {hint}>{body()}</div>" if shape < 0.75 else f"<main><article {hint}>{body()}</article>{junk('comment')}</main>" if shape < 0.9 else f"<div>{body()}</div>"
         if r.random() < 0.3:
             inner = f"<div>{inner}{junk('side')}</div>"
         before = "".join(junk(k) for k in ("edge", "menu", "notice", "advert", "form") if r.random() < 0.5)
@@ -310,20 +373,24 @@ def model() -> tuple[np.ndarray, np.ndarray]:
             other[nodes[i].parent] += other[i]
         pages.append((nodes, (held > other).astype(int) | main))
     weights, pair = np.zeros(len(FEATURES)), np.zeros((2, 2))
-    index = [[_indexes(x) for x in nodes] for nodes, _ in pages]
+    state = np.concatenate([x for _, x in pages])
+    free = np.concatenate([_free(nodes) for nodes, _ in pages])
+    starts = np.cumsum([0, *(len(nodes) for nodes, _ in pages)])
+    parents = [x.parent + a if x.parent >= 0 else -1 for (nodes, _), a in zip(pages, starts[:-1].tolist(), strict=True) for x in nodes]
+    by_depth, over = levels(parents), np.array(parents)
+    has = np.zeros((len(parents), len(FEATURES)))
+    for i, found in enumerate(x for nodes, _ in pages for x in _indexes(nodes)):
+        has[i, found] = 1
+    tied = np.flatnonzero(~free & (over >= 0))
+    wanted = np.zeros((2, 2))
+    np.add.at(wanted, (state[over[tied]], state[tied]), 1)
     squares, pair_squares = np.full(len(FEATURES), 1e-6), np.full((2, 2), 1e-6)
-    for _ in range(70):  # AdaGrad
-        gradient, pair_gradient = -1e-3 * weights * len(pages), -1e-3 * pair * len(pages)
-        for (nodes, state), features in zip(pages, index, strict=True):
-            own = np.zeros((len(nodes), 2))
-            own[:, 1] = [weights[f].sum() for f in features]
-            free = np.array(_free(nodes))
-            belief, edge = marginals([x.parent for x in nodes], free.tolist(), own, pair)
-            for f, s, b in zip(features, state, belief[:, 1], strict=True):
-                gradient[f] += s - b
-            tied = np.flatnonzero(~free[1:]) + 1
-            pair_gradient -= edge[tied].sum(0)
-            np.add.at(pair_gradient, (state[[nodes[i].parent for i in tied]], state[tied]), 1)
+    for _ in range(STEPS):  # AdaGrad
+        own = np.zeros((len(parents), 2))
+        own[:, 1] = has @ weights
+        belief, edge = marginals(parents, free, own, pair, by_depth)
+        gradient = has.T @ (state - belief[:, 1]) - 1e-3 * weights * len(pages)
+        pair_gradient = wanted - edge[tied].sum(0) - 1e-3 * pair * len(pages)
         squares += gradient**2
         pair_squares += pair_gradient**2
         weights = weights + 0.6 * gradient / np.sqrt(squares)
@@ -331,12 +398,15 @@ def model() -> tuple[np.ndarray, np.ndarray]:
     return weights, pair
 
 
+def main_texts(sources: list[str | None], weights: np.ndarray, pair: np.ndarray) -> list[str]:
+    """The main text of each page."""
+    parsed = [parse(x or "") for x in sources]
+    held = content([nodes for nodes, _ in parsed], weights, pair) if parsed else []
+    return ["\n\n".join(text for i, text in blocks if main[i] > 0.5) for (_, blocks), main in zip(parsed, held, strict=True)]
+
+
 def main_text(source: str | None, weights: np.ndarray, pair: np.ndarray) -> str:
-    nodes, blocks = parse(source or "")
-    if not blocks:
-        return ""
-    main = content(nodes, weights, pair)
-    return "\n\n".join(text for i, text in blocks if main[i] > 0.5)
+    return main_texts([source], weights, pair)[0]
 
 
 _SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -349,7 +419,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, p = np.array(weights), np.array(pair)
         for batch in batches:
-            texts = [main_text(x.as_py(), w, p) for x in batch.column(2)]
+            texts = [x for _, some in _text.text_lists(batch.column(2), AT_ONCE) for x in main_texts(some, w, p)]
             yield _io.to_batch(_SCHEMA, {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": list(map(len, texts))})
 
     return _io.pick(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(run, _SCHEMA)
