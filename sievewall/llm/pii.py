@@ -7,10 +7,15 @@ it writes, the stretch of source characters that it stands for:
 
 * ``fold``: compatibility forms (full-width, mathematical), look-alike letters of
   Cyrillic and Greek, digits of other scripts; invisible characters vanish;
-* ``at_dot``: "name [at] host (dot) org", "name at host dot org" become an address;
+* ``at_dot``: "name [at] host (dot) org", "name at host dot org", "name_at_host_dot_org"
+  become an address;
+* ``dotted``: four numbers between dots of which some are disguised, "10[.]0[.]0[.]1" or
+  "one nine two dot one six eight dot one dot one", become an address;
 * ``spoken``: three or more spelled digits in a row become digits ("plus" before
   them a plus sign, "double" and "triple" repeat the next).
 
+Words are English, German, French and Spanish ones.
+
 What is found in the rewritten text, and wasn't plain, is mapped back to the
 stretch of source characters. It is added unless a span of its kind holds all of it;
 so a partly disguised identifier is added beside the plain span of its undisguised part.
@@ -48,23 +53,40 @@ _ALIKE = {
     "@": "＠﹫", ".": "．。｡․", "+": "＋﹢", "-": "‐‑‒–—−﹣－", " ": "    　",
 }
 FOLD = {ord(x): to for to, many in _ALIKE.items() for x in many}
-INVISIBLE = frozenset(map(ord, "­​‌‍⁠﻿"))
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+INVISIBLE = frozenset([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF])
+#: Spelled digits in English, German, French and Spanish.
+_SPELLED = {
+    "0": "zero oh null zéro cero", "1": "one eins un une uno una", "2": "two zwei zwo deux dos", "3": "three drei trois tres", "4": "four vier quatre cuatro",
+    "5": "five fünf cinq cinco", "6": "six sechs seis", "7": "seven sieben sept siete", "8": "eight acht huit ocho", "9": "nine neun neuf nueve",
+}
+DIGIT_WORDS = {w: d for d, words in _SPELLED.items() for w in words.split()}
 REPEATS = {"double": 2, "triple": 3}
 
-_word = "|".join([*DIGIT_WORDS, *REPEATS])
-_SPOKEN = re.compile(rf"(?i)(?<![A-Za-z])(?:plus[\s,.-]+)?(?:{_word}|[0-9])(?:[\s,.-]+(?:{_word}|[0-9])){{2,}}(?![A-Za-z])")
+_LETTER = r"[^\W\d_]"
+_word = "|".join(sorted([*DIGIT_WORDS, *REPEATS], key=len, reverse=True))
+_SPOKEN = re.compile(rf"(?i)(?<!{_LETTER})(?:plus[\s,.-]+)?(?:{_word}|[0-9])(?:[\s,.-]+(?:{_word}|[0-9])){{2,}}(?!{_LETTER})")
 _SPOKEN_WORD = re.compile(rf"(?i)(plus)|({_word})|([0-9])")
-_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
+_ats, _dots = "at|arroba|arobase|ät", "dot|punto|punkt|point"
+_AT = rf"(?:\s*[\[({{<]\s*(?:{_ats}|@)\s*[\])}}>]\s*|\s+(?:{_ats})\s+|\s*@\s*)"
+_DOT = rf"(?:\s*[\[({{<]\s*(?:{_dots}|\.)\s*[\])}}>]\s*|\s+(?:{_dots})\s+|\.)"
 _AT_DOT = re.compile(rf"(?i)(?<![A-Za-z0-9_%+-])(?<![A-Za-z0-9_%+-]\.)((?>[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*))({_AT})([A-Za-z0-9-]+)((?:{_DOT}[A-Za-z0-9-]+)+)")
 _DOT_PART = re.compile(rf"(?i){_DOT}")
+#: A whole address in one word: name_at_host_dot_org.
+_ONE_WORD = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+?)([_-](?:{_ats})[_-])([A-Za-z0-9]+)((?:[_-](?:{_dots})[_-][A-Za-z0-9]+)+)(?![A-Za-z0-9])")
+_ONE_WORD_DOT = re.compile(rf"(?i)[_-](?:{_dots})[_-]")
+#: Four numbers, in digits or spelled, between dots of which one at least is disguised.
+_OCTET = rf"(?:(?:{_word})(?:[\s-]+(?:{_word})){{0,2}}|[0-9]{{1,3}})"
+_IP_DOT = rf"(?:\s*[\[({{<]\s*(?:{_dots}|\.)\s*[\])}}>]\s*|\s+(?:{_dots})\s+|\.)"
+_DOTTED = re.compile(rf"(?i)(?<![\w.]){_OCTET}(?:{_IP_DOT}{_OCTET}){{3}}(?!\w)")
+_IP_DOT_PART = re.compile(rf"(?i)({_IP_DOT})")
 #: What must be in a text for it to be worth rewriting, besides characters that ``fold`` changes.
-_CUE_AT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]")
-_CUE_DOT = re.compile(r"\sdot\s")
-_CUE_SPOKEN = re.compile(rf"(?:{'|'.join(DIGIT_WORDS)})[\s,.-]+(?:{_word}|[0-9])(?![a-z])")
+_CUE_AT = re.compile(rf"[\[({{<]\s*(?:{_ats}|@|{_dots}|\.)\s*[\])}}>]")
+_CUE_DOT = re.compile(rf"[\s_-](?:{_dots})[\s_-]|\s(?:arroba|arobase|ät)\s")
+_CUE_SPOKEN = re.compile(rf"(?<!{_LETTER})(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})[\s,.-]+(?:{_word}|[0-9])(?!{_LETTER})")
 _CUE_FOLD = re.compile("[" + "".join(map(re.escape, map(chr, sorted(set(FOLD) | INVISIBLE)))) + "０-９Ａ-Ｚａ-ｚ٠-٩۰-۹०-९\U0001d400-\U0001d7ff]")
 
+_CUE_WORDS = ("dot", "punto", "punkt", "point", "arroba", "arobase", "ät")
+
 Span = tuple[str, int, int]
 
 
@@ -144,27 +166,51 @@ def fold(tape: Tape) -> None:
 def at_dot(tape: Tape) -> None:
     edits = []
     for m in _AT_DOT.finditer(tape.text):
-        if re.search(r"(?i)\bat\b", m[2]) and "[" not in m[2] and "(" not in m[2] and "{" not in m[2] and "<" not in m[2] and not re.search(r"(?i)dot|[\[({<]", m[4]):
+        if re.search(r"(?i)\bat\b", m[2]) and "[" not in m[2] and "(" not in m[2] and "{" not in m[2] and "<" not in m[2] and not re.search(rf"(?i){_dots}|[\[({{<]", m[4]):
             continue  # an ordinary "at" before an ordinary abbreviation or the end of a sentence
         edits += [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in _DOT_PART.finditer(m[1])]
         edits.append((*m.span(2), "@"))
         edits += [(m.start(4) + d.start(), m.start(4) + d.end(), ".") for d in _DOT_PART.finditer(m[4])]
     tape.splice(edits)
+    edits = []
+    for m in _ONE_WORD.finditer(tape.text):
+        edits.append((*m.span(2), "@"))
+        edits += [(m.start(4) + d.start(), m.start(4) + d.end(), ".") for d in _ONE_WORD_DOT.finditer(m[4])]
+    tape.splice(edits)
+
+
+def _digits(said: str) -> str:
+    out, times = "", 1
+    for plus, word, digit in _SPOKEN_WORD.findall(said):
+        if plus:
+            out += "+"
+        elif word.lower() in REPEATS:
+            times = REPEATS[word.lower()]
+        else:
+            out += (digit or DIGIT_WORDS[word.lower()]) * times
+            times = 1
+    return out
+
+
+def dotted(tape: Tape) -> None:
+    edits = []
+    for m in _DOTTED.finditer(tape.text):
+        parts = _IP_DOT_PART.split(m[0])
+        if all(x == "." for x in parts[1::2]):
+            continue
+        at = m.start()
+        for i, part in enumerate(parts):
+            if i % 2 or part[0].isalpha():
+                edits.append((at, at + len(part), "." if i % 2 else _digits(part)))
+            at += len(part)
+    tape.splice(edits)
 
 
 def spoken(tape: Tape) -> None:
     edits = []
     for m in _SPOKEN.finditer(tape.text):
-        digits, times = "", 1
-        for plus, word, digit in _SPOKEN_WORD.findall(m[0]):
-            if plus:
-                digits += "+"
-            elif word.lower() in REPEATS:
-                times = REPEATS[word.lower()]
-            else:
-                digits += (digit or DIGIT_WORDS[word.lower()]) * times
-                times = 1
-        if re.search("[A-Za-z]", m[0]) and len(digits) >= 3:
+        digits = _digits(m[0])
+        if re.search(_LETTER, m[0]) and len(digits) >= 3:
             edits.append((*m.span(), digits))
     tape.splice(edits)
 
@@ -172,12 +218,13 @@ def spoken(tape: Tape) -> None:
 def disguised(text: str) -> list[Span]:
     """What the transducers bring to light, in source offsets."""
     folds, low = not text.isascii() and _CUE_FOLD.search(text), text.lower()
-    if not folds and not ("dot" in low and _CUE_DOT.search(low)) and not (any(c in low for c in "[({<") and _CUE_AT.search(low)) and not (any(w in low for w in DIGIT_WORDS) and _CUE_SPOKEN.search(low)):
+    if not folds and not (any(w in low for w in _CUE_WORDS) and _CUE_DOT.search(low)) and not (any(c in low for c in "[({<") and _CUE_AT.search(low)) and not (any(w in low for w in DIGIT_WORDS) and _CUE_SPOKEN.search(low)):
         return []
     tape = Tape(text)
     if folds:
         fold(tape)
     at_dot(tape)
+    dotted(tape)
     spoken(tape)
     out = []
     for kind, a, b in plain(tape.text):

@@ -128,12 +128,21 @@ def test_pii():
         "call plus one five five five one two three four five six seven": ("phone", "plus one five five five one two three four five six seven"),
         "４１１１ 1111 1111 1111": ("card", "４１１１ 1111 1111 1111"),
         "name at host dot org": ("email", "name at host dot org"),
+        "john_at_example_dot_com!": ("email", "john_at_example_dot_com"),
+        "juan (arroba) ejemplo (punto) es": ("email", "juan (arroba) ejemplo (punto) es"),
+        "jean arobase exemple point fr": ("email", "jean arobase exemple point fr"),
+        "on 192[.]168[.]1[.]10 now": ("ip", "192[.]168[.]1[.]10"),
+        "on 192.168(dot)1.10 now": ("ip", "192.168(dot)1.10"),
+        "on 10 dot 0 dot 0 dot 1.": ("ip", "10 dot 0 dot 0 dot 1"),
+        "one nine two dot one six eight dot one dot one": ("ip", "one nine two dot one six eight dot one dot one"),
+        "zehn punkt, eins neun zwei punkt eins sechs acht punkt null punkt zwei": ("ip", "eins neun zwei punkt eins sechs acht punkt null punkt zwei"),
+        "plus quatre neuf un cinq deux trois quatre cinq six sept": ("phone", "plus quatre neuf un cinq deux trois quatre cinq six sept"),
     }
     for text, (kind, found) in said.items():
         base, spans = pii.find(text)
         assert not [x for x in base if x[0] == kind] and [(k, text[a:b]) for k, a, b in spans if k == kind] == [(kind, found)]
         assert found not in pii.hide(text)
-    for clean in ("I am at home. Look at x.y now", "one day two men met", "at the dot", "größer als ê", "see 3.14 at 5"):
+    for clean in ("I am at home. Look at x.y now", "one day two men met", "at the dot", "größer als ê", "see 3.14 at 5", "one. two. three. four", "one dot two", "300 dot 1 dot 2 dot 3", "look_at_the_dots", "un point deux", "uno dos tres"):
         assert pii.find(clean) == ([], [])
     base, _ = pii.find("4111 1111 1111 1111, 4111 1111 1111 1112, 1.2.3.4, 1.2.3.400, +1 (988) 555-2485, x@y.z")
     assert Counter(x[0] for x in base) == {"card": 1, "ip": 1, "phone": 1, "email": 1}
@@ -148,6 +157,7 @@ def test_pii_partly_disguised():
         "john@example.co (dot) uk": ("email", "john@example.co"),
         "+1 555 123 456 seven eight nine": ("phone", "+1 555 123 456"),
         "\uff111.2.3.4": ("ip", "1.2.3.4"),
+        "jo\u200ehn@example.com": ("email", "hn@example.com"),
     }
     for whole, (kind, part) in said.items():
         text = f"see {whole}, or a@b.c"
@@ -167,16 +177,40 @@ def test_pii_plain_is_what_the_patterns_say():
         assert [m.span() for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))] == [x[1:] for x in pii.plain(text) if x[0] == "ip"]
 
 
+def test_pii_numbers_by_brute_force():
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def passes(digits):
+        total = 0
+        for i, c in enumerate(reversed(digits)):
+            x = int(c) * (1 + i % 2)
+            total += x // 10 + x % 10
+        return total % 10 == 0
+
+    r = random.Random(2)
+    n = Counter()
+    for _ in range(20_000):
+        text = "".join(r.choice("0123456789012345678901234567890123456789 -+(.)a") for _ in range(r.randint(0, 40)))
+        base = pii.plain(text)
+        digits = lambda m: re.sub("[^0-9]", "", m[0])
+        assert [m.span() for m in card.finditer(text) if 13 <= len(digits(m)) <= 19 and passes(digits(m))] == [x[1:] for x in base if x[0] == "card"]
+        assert [m.span() for m in phone.finditer(text) if 9 <= len(digits(m)) <= 15] == [x[1:] for x in base if x[0] == "phone"]
+        n.update(x[0] for x in base)
+    assert min(n["card"], n["phone"]) > 100
+
+
 def test_pii_long_words():
     assert pii.find("1" * 9000 + ".1.1.1") == ([], [])
-    for text in ("a" * 200_000 + " dot @", "1" * 200_000 + " a@", "a." * 30_000 + " x dot y", "a@" * 50_000, " " * 100_000 + " dot two one"):
+    for text in ("a" * 200_000 + " dot @", "1" * 200_000 + " a@", "a." * 30_000 + " x dot y", "a@" * 50_000, " " * 100_000 + " dot two one", "1 dot " * 40_000, "one dot " * 40_000, "un " * 2000 + "x", "a_at_" * 40_000, "a_dot_" * 40_000, "1[.]" * 40_000):
         assert pii.find(text) == ([], [])
 
 
 def test_pii_rows(spark):
     out = {r["doc_id"]: r for r in pii.scan(docs(spark, [(1, None), (2, "a@b.c"), (None, "a@b.c")])).collect()}
     assert out[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and out[2]["spans"] == "email:0:5" == out[None]["spans"]
+    assert out[1]["spans"] == "" and [out[2][f"n_{k}"] for k in pii.KINDS] == [1, 0, 0, 0] and out[2]["base_sha256"] == hashlib.sha256(b"email:0:5").hexdigest()
     assert [r["text"] for r in pii.redact(docs(spark, [(1, None), (2, "a@b.c!")])).orderBy("doc_id").collect()] == [None, "[EMAIL]!"]
+    assert not pii.scan(docs(spark, [])).collect() and not pii.redact(docs(spark, [])).collect()
 
 
 def test_embeddings(spark):
