@@ -69,7 +69,11 @@ _SPOKEN_WORD = re.compile(rf"(?i)(plus)|({_word})|([0-9])")
 _ats, _dots = "at|arroba|arobase|ät", "dot|punto|punkt|point"
 _AT = rf"(?:\s*[\[({{<]\s*(?:{_ats}|@)\s*[\])}}>]\s*|\s+(?:{_ats})\s+|\s*@\s*)"
 _DOT = rf"(?:\s*[\[({{<]\s*(?:{_dots}|\.)\s*[\])}}>]\s*|\s+(?:{_dots})\s+|\.)"
-_AT_DOT = re.compile(rf"(?i)(?<![A-Za-z0-9_%+-])(?<![A-Za-z0-9_%+-]\.)((?>[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*))({_AT})([A-Za-z0-9-]+)((?:{_DOT}[A-Za-z0-9-]+)+)")
+#: An at sign, disguised or not, and what follows it; the name before it is read backwards, as a forward search would start anew at each of its parts.
+_AT_HOST = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+.-])({_AT})([A-Za-z0-9-]+)((?:{_DOT}[A-Za-z0-9-]+)+)")
+_stod = _dots[::-1]
+_TOD = rf"(?:\s*[\])}}>]\s*(?:{_stod}|\.)\s*[\[({{<]\s*|\s+(?:{_stod})\s+|\.)"
+_EMAN = re.compile(rf"(?i)[A-Za-z0-9_%+-]+(?:{_TOD}[A-Za-z0-9_%+-]+)*")
 _DOT_PART = re.compile(rf"(?i){_DOT}")
 #: A whole address in one word: name_at_host_dot_org.
 _ONE_WORD = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+?)([_-](?:{_ats})[_-])([A-Za-z0-9]+)((?:[_-](?:{_dots})[_-][A-Za-z0-9]+)+)(?![A-Za-z0-9])")
@@ -164,13 +168,19 @@ def fold(tape: Tape) -> None:
 
 
 def at_dot(tape: Tape) -> None:
-    edits = []
-    for m in _AT_DOT.finditer(tape.text):
-        if re.search(r"(?i)\bat\b", m[2]) and "[" not in m[2] and "(" not in m[2] and "{" not in m[2] and "<" not in m[2] and not re.search(rf"(?i){_dots}|[\[({{<]", m[4]):
+    edits, back, done = [], "", 0
+    for m in _AT_HOST.finditer(tape.text):
+        if re.fullmatch(r"(?i)\s+at\s+", m[1]) and not re.search(rf"(?i){_dots}|[\[({{<]", m[3]):
             continue  # an ordinary "at" before an ordinary abbreviation or the end of a sentence
-        edits += [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in _DOT_PART.finditer(m[1])]
-        edits.append((*m.span(2), "@"))
-        edits += [(m.start(4) + d.start(), m.start(4) + d.end(), ".") for d in _DOT_PART.finditer(m[4])]
+        back = back or tape.text[::-1]
+        n = len(back)
+        name = _EMAN.match(back, n - m.start(), n - done)
+        if name is None:
+            continue
+        edits += [(n - name.end() + d.start(), n - name.end() + d.end(), ".") for d in _DOT_PART.finditer(name[0][::-1])]
+        edits.append((*m.span(1), "@"))
+        edits += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in _DOT_PART.finditer(m[3])]
+        done = m.end()
     tape.splice(edits)
     edits = []
     for m in _ONE_WORD.finditer(tape.text):
@@ -238,12 +248,15 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """(plain spans, all spans), each by kind as in ``KINDS``, then by start."""
     text = text or ""
     base = plain(text)
-    spans = list(base)
-    for kind, start, end in sorted(disguised(text), key=lambda x: x[1] - x[2]):  # the longest first
-        if not any(k == kind and s <= start and end <= e for k, s, e in spans):
-            spans.append((kind, start, end))
     order = lambda x: (KINDS.index(x[0]), *x[1:])
-    return sorted(base, key=order), sorted(spans, key=order)
+    added, last, reach = [], "", 0
+    for kind, start, minus, late in sorted({(k, s, -e, False) for k, s, e in base} | {(k, s, -e, True) for k, s, e in disguised(text)}):
+        if kind != last:
+            last, reach = kind, 0
+        if late and -minus > reach:  # none that began before it, or with it, holds all of it
+            added.append((kind, start, -minus))
+        reach = max(reach, -minus)
+    return sorted(base, key=order), sorted([*base, *added], key=order)
 
 
 def joined(spans: list[Span]) -> str:
