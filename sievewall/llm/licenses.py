@@ -1,8 +1,8 @@
 """License notices in documents.
 
 Texts and templates are sequences of words (runs of ASCII letters, digits and
-other scripts' characters, small letters); their shingles are five words in a row
-(a template with fewer words is one shingle of all, sought among runs as long).
+other scripts' characters, small letters); their shingles are five words in a row.
+A template with fewer words has none, and is refused.
 
 1. Templates are sorted into classes by their number of shingles, up to ``c`` = 1,
    2, 4, 8, ... For each class, windows of 2c shingles overlap by half, so that any
@@ -75,9 +75,10 @@ def templates(texts: dict[str, str], k: int = K) -> list[Template]:
     for name, text in texts.items():
         raw = text.encode()
         w = _text.words(_text.Chunk(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), _text.NOT_ALNUM)
+        if len(w.hashes) < k:
+            raise ValueError(f"template {name!r} has fewer than {k} words")
         own = np.unique(_text.shingles(w, k)[0])
-        if len(own):
-            out.append(Template(name, own, _text.minhash(own, np.array([0, len(own)]), _SEEDS)[0], 1 << (len(own) - 1).bit_length()))
+        out.append(Template(name, own, _text.minhash(own, np.array([0, len(own)]), _SEEDS)[0], 1 << (len(own) - 1).bit_length()))
     return out
 
 
@@ -128,10 +129,15 @@ def matches(chunk: _text.Chunk, known: list[Template], anchors: np.ndarray, cont
                 merged.append([a, b, share])
         out += [(r, name, *x) for x in merged]
     out.sort(key=lambda x: (x[0], x[2], x[1]))
-    by_row: dict[int, list[tuple]] = {}
+    near: list[tuple[int, str, int, int, float]] = []  # those before that reach into what follows
+    best = dict.fromkeys(out, True)
     for x in out:
-        by_row.setdefault(x[0], []).append(x)
-    return [x[:4] for x in out if not any(y[2] < x[3] and x[2] < y[3] and y[4] > x[4] for y in by_row[x[0]])]
+        near = [y for y in near if y[0] == x[0] and y[3] > x[2]]
+        for y in near:
+            if y[4] != x[4]:
+                best[min(x, y, key=lambda z: z[4])] = False
+        near.append(x)
+    return [x[:4] for x in out if best[x]]
 
 
 _SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_matches", T.LongType()), T.StructField("licenses", T.StringType()), T.StructField("spans", T.StringType())])
@@ -147,9 +153,9 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, containment: floa
             for chunk in _text.chunks(batch.column(1)):
                 spans: list[list[str]] = [[] for _ in range(chunk.rows)]
                 names: list[set[str]] = [set() for _ in range(chunk.rows)]
+                points = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])  # code points before each byte
                 for r, name, a, b in matches(chunk, known, anchors, containment):
-                    row = chunk.data[chunk.ends[r] : chunk.ends[r + 1]]
-                    start, end = (int(((row[: x - chunk.ends[r]] & 0xC0) != 0x80).sum()) for x in (a, b))
+                    start, end = (int(points[x] - points[chunk.ends[r]]) for x in (a, b))
                     spans[r].append(f"{name}:{start}:{end}")
                     names[r].add(name)
                 yield _io.to_batch(_SCHEMA, {"doc_id": batch.column(0).slice(chunk.first, chunk.rows), "n_matches": list(map(len, spans)), "licenses": [",".join(sorted(x)) for x in names], "spans": list(map(",".join, spans))})

@@ -124,7 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     marks = _io.pick(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(in_fold(F.col("doc_id")) != HELD_OUT)
     # ``sample`` ids at most: the only rows of documents that are read into the fit
     marks = marks.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).distinct().orderBy(F.xxhash64("id"), "id", "quality").limit(sample)
-    texts = _io.pick(docs, "doc_id", "text").join(F.broadcast(marks), docs["doc_id"] == F.col("id")).select("quality", "text")
+    texts = _io.pick(docs, "doc_id", "text").join(F.broadcast(marks), docs["doc_id"] == F.col("id"))
+    # of rows that share an id one counts, the one with the least hash; so no more rows than labels come to the driver
+    texts = texts.groupBy("id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select("quality", "m.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
