@@ -53,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _io.table(spark, sf_dir, "documents")
+    """All stages over ``documents``. What a stage wrote for itself goes when its result is written, and each result when the next one is."""
+    docs, before = _io.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = _io.materialize(stage(spark, docs, sf_dir), name)
+        with _io.scope():
+            docs = _io.materialize(stage(spark, docs, sf_dir), name, keep=True)
+        if before is not None:
+            _io.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,11 +7,12 @@ any executor can read them again after another is lost.
 
 from __future__ import annotations
 
-import atexit
-import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from pyspark.sql import types as T
 KEY = "spark.checkpoint.dir"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
-_written: list[tuple[SparkSession, str]] = []
+#: The tables written in this context, by path.
+_written: ContextVar[dict[str, SparkSession] | None] = ContextVar("written", default=None)
+_lock, _writers = threading.Lock(), [0]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,49 +39,78 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs meanwhile go when it ends; the setting is put back when no thread writes any more."""
+    with _lock:
+        if not _writers[0]:
+            _writers[1:] = [spark.conf.get(CLEANUP)]
+            spark.conf.set(CLEANUP, "true")
+        _writers[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers[0] -= 1
+            if not _writers[0]:
+                spark.conf.set(CLEANUP, _writers.pop())
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return what was written.
 
-    The shuffle files of the write go when it ends: what was written replaces them.
+    The shuffle files of the write go when it ends: what was written replaces them. The table goes
+    with the ``scope`` it was written in, unless ``keep``, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievewall/{uuid.uuid4().hex}/{tag}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    _written.append((spark, path))
+    files, folder = _folder(spark, path)
+    files.deleteOnExit(folder)
+    if not keep and (written := _written.get()) is not None:
+        written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
+    files.cancelDeleteOnExit(folder)
 
 
-def discard(written: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote; nothing that is still to run may read it."""
-    spark = written.sparkSession
-    folder = written.inputFiles()[0].rsplit("/", 2)[0].rsplit("/", 1)[1]
-    at = next(i for i, (_, path) in enumerate(_written) if path.rsplit("/", 2)[1] == folder)
-    _delete(spark, _written.pop(at)[1])
+def path_of(written: DataFrame) -> str:
+    """The path of a table that ``materialize`` wrote."""
+    return written.inputFiles()[0].rsplit("/", 1)[0]
 
 
-def reclaim(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(written: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote; nothing that is still to run may read it."""
+    path = path_of(written)
+    _delete(written.sparkSession, path)
+    for known in [x for x in _written.get() or () if x.rsplit("/", 2)[1:] == path.rsplit("/", 2)[1:]]:
+        _written.get().pop(known)
 
 
-@atexit.register
-def _remove() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended: there is nobody left to ask
-            return
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written within are deleted at its end: what needs them must have run by then."""
+    token = _written.set({})
+    try:
+        yield
+    finally:
+        own = _written.get()
+        _written.reset(token)
+        for path, spark in own.items():
+            try:
+                _delete(spark, path)
+            except Exception:  # noqa: S112  the session may have ended; what is left goes with the JVM
+                continue
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

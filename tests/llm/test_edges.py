@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pytest
-from sievewall.llm import graph, groups, licenses, line_dedup, near_dedup, quality, sampling, syncmers, tokens
+from sievewall.llm import _io, graph, groups, licenses, line_dedup, near_dedup, quality, sampling, syncmers, tokens
 
 from test_operators import docs, edited, groups as united, prose
 
@@ -181,6 +181,22 @@ def test_fingerprints_of_empty_tables_and_one_row(spark):
     assert one["near_next"] == 1.0
 
 
+def test_written_tables_go(spark, tmp_path):
+    from pathlib import Path
+
+    folder = Path(_io.shared_dir(spark).removeprefix("file:")) / "sievewall"
+    there = lambda: len(list(folder.iterdir())) if folder.exists() else 0
+    before, setting = there(), spark.conf.get(_io.CLEANUP)
+    with _io.scope():
+        kept = _io.materialize(spark.range(3), "a", keep=True)
+        _io.discard(_io.materialize(spark.range(3), "b"))
+        assert near_dedup.near_duplicates(docs(spark, [(1, "a b c d e"), (2, "a b c d e")])).count() == 2
+        assert there() > before + 1
+    assert there() == before + 1 and kept.count() == 3 and spark.conf.get(_io.CLEANUP) == setting
+    _io.discard(kept)
+    assert there() == before
+
+
 def test_near_duplicates_of_empty_tables(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).collect() == []
 
