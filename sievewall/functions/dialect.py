@@ -2,8 +2,9 @@
 
 Classes are spelled out, so that both engines agree with the source dialect: white
 space is Unicode's and the byte order mark, a dot excludes four line ends, a word
-boundary is ASCII, ``$`` is the very end. Repetition of a group without bound is
-bounded at eight: Java's matcher recurses on it and overflows its stack.
+boundary is ASCII, ``$`` is the very end. RE2 repeats a group without bound; Java's
+matcher recurses on it and overflows its stack, so there the groups of ``FINAL`` are
+possessive, which changes no match, and any other repeats at most ``MOST`` times.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from .errors import ConfigurationError
 _SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 _JAVA_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 _TOKEN = re.compile(r"\\u([0-9a-fA-F]{4})|\\(.)|(\[)|(\])|(\)[*+])|([.$])|(.)", re.S)
+#: Repeated groups that no match needs to give back: their words end in white space and can't begin what follows them in any rule.
+FINAL = frozenset([r"(?:(?:all|the|user)\s+)*", r"(?:(?:trusted|verified|authenticated|authorized)\s+)+", r"(?:(?:academic|educational|scholarly|research)(?:\s+and\s+|\s+))+"])
+#: How often any other group without bound (of a rule of one's own) may repeat in Spark.
+MOST = 1000
 #: White space as a character class of both engines: what a blank text consists of.
 BLANK = rf"^[{_SPACE}]*\z"
 
@@ -36,7 +41,8 @@ def render(pattern: str, engine: str, flags: str = "i") -> str:
         elif escape == "b":
             out.append(_JAVA_EDGE if engine == "spark" else r"\b")
         elif group and not inside:
-            out.append("){0,8}" if group[1] == "*" else "){1,8}")
+            final = _group(pattern, m.end()) in FINAL
+            out.append(group if engine != "spark" else f"{group}+" if final else f"){{{int(group[1] == '+')},{MOST}}}")
         elif special and not inside:
             out.append(r"[^\n\r\x{2028}\x{2029}]" if special == "." else r"\z")
         elif opens and inside:
@@ -47,6 +53,21 @@ def render(pattern: str, engine: str, flags: str = "i") -> str:
     return (f"(?{flags})" if flags else "") + "".join(out)
 
 
+def _group(pattern: str, end: int) -> str:
+    """The group whose repetition ends there, from its opening parenthesis."""
+    opened, inside = [], False
+    for m in _TOKEN.finditer(pattern, 0, end):
+        if m[0] == "[" and not inside:
+            inside = True
+        elif m[0] == "]":
+            inside = False
+        elif not inside and m[0] == "(":
+            opened.append(m.start())
+        elif not inside and m[0][0] == ")":
+            start = opened.pop()
+    return pattern[start:end]
+
+
 def check(pattern: str) -> str:
     """``pattern``, if it can be parsed; a bad one fails here and not in a running query."""
     try:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dialect
+from ..functions.errors import ConfigurationError
 from ..functions.rules import RULES
 
 Rung = tuple[str, str, float, float, float, str]
@@ -29,11 +30,20 @@ class Detector:
     rungs: tuple[Rung, ...]
     none: str
     says: str
+    #: (bucket, name, pattern) of one's own; None: the built-in ones.
+    own: tuple[tuple[str, str, str], ...] | None = None
 
     @property
     def rules(self) -> list[tuple[str, str, str]]:
+        if self.own is not None:
+            return list(self.own)
         return [(bucket, name, pattern) for bucket, rules in RULES[self.name].items() for name, pattern in rules]
 
+    @property
+    def decodes(self) -> bool:
+        """Whether what a base64 rule finds is looked at decoded."""
+        return self.name == "bypass_detection" and any(name == "base64_payload" for _, name, _ in self.rules)
+
 
 def _levels(first: float, medium_high: tuple[float, float] | None, medium: float, caps: tuple[float, float], bases: tuple[float, float]) -> tuple[Rung, ...]:
     rungs: list[Rung] = [("H >= 2", "critical", caps[0], bases[0], 0.1, "H"), ("H >= 1", "high", caps[1], bases[1], 0.1, "M")]
@@ -67,6 +77,15 @@ DETECTORS: dict[str, Detector] = {
     )
 }
 
+
+
+def plain_detector(name: str) -> Detector:
+    """A detector of one's own, with the buckets high, medium and low and the commonest ladder."""
+    if not re.fullmatch(r"\w+", name):
+        raise ConfigurationError(f"a section's name has letters, digits and underscores only: {name!r}")
+    return Detector(name, "direct_injection", _HML, _levels(0.2, (0.7, 0.45), 0.4, (0.95, 0.8), (0.7, 0.5)), "No patterns detected", name)
+
+
 # Words sought in the first decoded base64 run, and that check's name.
 DECODED_WORDS = ("ignore", "bypass", "admin", "system", "override", "disable")
 DECODED_RULE = "base64_decoded_instruction"
@@ -89,23 +108,25 @@ def _extract(pattern: str) -> str:
     return f"regexp_extract(_text, {literal(dialect.render(dialect.check(pattern), 'spark'))}, 0)"
 
 
-def _decoded(d: Detector) -> str:
+#: The first base64 run of the text, and what it says, decoded, in small letters.
+_RUN, _SAID = "_run", "_said"
+
+
+def _decoded() -> str:
     """The first base64 run if, decoded, it speaks of an override; else an empty string."""
-    run = _extract(_base64(d))
-    said = f"lower(make_valid_utf8(cast(try_to_binary({run}, 'base64') AS string)))"
-    return f"CASE WHEN {' OR '.join(f'contains({said}, {literal(w)})' for w in DECODED_WORDS)} THEN {run} ELSE '' END"
+    return f"CASE WHEN {' OR '.join(f'contains({_SAID}, {literal(w)})' for w in DECODED_WORDS)} THEN {_RUN} ELSE '' END"
 
 
 def _hits(d: Detector, at: dict[str, int]) -> str:
     """Array of (bucket, name, match) of the rules that match, in the rules' order; each rule once, its first match."""
     out = []
     for bucket, name, pattern in d.rules:
-        match = _extract(pattern)
+        match = _RUN if d.decodes and name == "base64_payload" else _extract(pattern)
         if words := sorted(dialect.gate(pattern)):
             match = f"CASE WHEN {' OR '.join(f'_has[{at[w]}]' for w in words)} THEN {match} ELSE '' END"
         out.append((bucket, name, match))
-    if d.name == "bypass_detection":
-        out.append(("stealth", DECODED_RULE, _decoded(d)))
+    if d.decodes:
+        out.append(("stealth", DECODED_RULE, _decoded()))
     every = ", ".join(f"named_struct('bucket', '{b}', 'name', '{n}', 'match', {m})" for b, n, m in out)
     return f"filter(array({every}), x -> x.match <> '')"
 
@@ -132,7 +153,10 @@ def scan(df: DataFrame, text: str, ds: Iterable[Detector]) -> DataFrame:
     at = {w: i for i, w in enumerate(_literals(ds), 1)}
     lower = df.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_low", F.lower("_text"))
     held = lower.withColumn("_has", F.expr(f"array({', '.join(['false', *(f'contains(_low, {literal(w)})' for w in at)])})")).drop("_low")
-    found = held.withColumns({hits_of(d): F.expr(_hits(d, at)) for d in ds}).drop("_has")
+    runs = [_base64(d) for d in ds if d.decodes]
+    if runs:
+        held = held.withColumn(_RUN, F.expr(_extract(runs[0]))).withColumn(_SAID, F.expr(f"lower(make_valid_utf8(cast(try_to_binary(nullif({_RUN}, ''), 'base64') AS string)))"))
+    found = held.withColumns({hits_of(d): F.expr(_hits(d, at)) for d in ds}).drop("_has", _RUN, _SAID)
     return found.withColumns({f"_n_{d.name}": F.expr(_counts(d)) for d in ds})
 
 
@@ -145,7 +169,7 @@ def counts_sql(d: Detector) -> dict[str, str]:
     out = {}
     for letter, buckets in d.counts.items():
         parts = [one(n, p) for b, n, p in d.rules if b in buckets]
-        if d.name == "bypass_detection" and "stealth" in buckets:
+        if d.decodes and "stealth" in buckets:
             said = f"lower(from_base64(nullif(regexp_extract(text, {quoted(dialect.render(_base64(d), 'duckdb', ''))}, 0, 'i'), ''))::VARCHAR)"
             parts.append("(CASE WHEN " + " OR ".join(f"contains({said}, '{w}')" for w in DECODED_WORDS) + " THEN 1 ELSE 0 END)")
         out[letter] = " + ".join(parts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,26 +24,34 @@ def chat_gate(turns: DataFrame, session: str, order: str, screening: Screening,
 
 
 def json_text(body: Column) -> Column:
-    """A text as JSON writes it, quotes and escapes included."""
+    """A body as JSON writes it: an object or a list anew, compact and unescaped where it can be; any other text as a string with its quotes.
+
+    Keys of an object come in alphabetical order.
+    """
     whole = F.to_json(F.struct(body.alias("b")))
-    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+    return F.when(body.rlike(r"^\s*[\[{]"), F.coalesce(F.to_json(F.try_parse_json(body)), F.substring(whole, F.lit(6), F.length(whole) - 6))).otherwise(F.substring(whole, F.lit(6), F.length(whole) - 6))
+
+
+def refusal(reason: Column) -> Column:
+    """What a blocked request gets back: (status, body)."""
+    return F.struct(F.lit(400).alias("status"), F.to_json(F.struct(F.lit("blocked").alias("error"), reason.alias("reason"))).alias("body"))
 
 
-def request_gate(requests: DataFrame, screening: Screening, prefix: bool = False, methods: tuple[str, ...] = METHODS, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """``requests`` (method, path, body) with ``scanned`` and ``passed``.
+def request_gate(requests: DataFrame, screening: Screening, prefix: bool = False, methods: tuple[str, ...] = METHODS, excluded: tuple[str, ...] = EXCLUDED, on_block: Callable[[Column], Column] = refusal) -> DataFrame:
+    """``requests`` (method, path, body) with ``scanned``, ``passed`` and ``response``, which ``on_block`` makes of a block's reason.
 
-    Exclusion is by equal paths, of JSON-escaped bodies; with ``prefix`` by the path's beginning, of raw bodies.
+    Requests of other methods pass unscanned. Exclusion is by equal paths, and bodies are scanned as JSON, but
+    for an empty object; with ``prefix`` it is by the path's beginning, and bodies are scanned raw, but for empty ones.
     """
     path = F.coalesce("path", F.lit(""))
-    skip = F.lit(False)
+    skip = ~F.coalesce("method", F.lit("")).isin(*methods)
     for x in excluded:
         skip = skip | (path.startswith(x) if prefix else path == x)
-    if not prefix:
-        skip = skip | ~F.coalesce("method", F.lit("")).isin(*methods)
-    body = F.coalesce("body", F.lit("")) if prefix else json_text(F.coalesce("body", F.lit("")))
-    scanned = ~skip & (F.coalesce("body", F.lit("")) != "")
-    out = requests.withColumn("_scanned", scanned).withColumn("_body", F.when(scanned, body).otherwise(""))
-    return screening.run(out, "_body").withColumn("passed", ~F.col("blocked")).withColumnRenamed("_scanned", "scanned").drop("_body")
+    body = F.coalesce("body", F.lit(""))
+    out = requests.withColumn("_body", body if prefix else json_text(body))
+    scanned = ~skip & (F.col("_body") != ("" if prefix else "{}"))
+    out = out.withColumn("scanned", scanned).withColumn("_body", F.when(F.col("scanned"), F.col("_body")).otherwise(""))
+    return screening.run(out, "_body").withColumns({"passed": ~F.col("blocked"), "response": F.when(F.col("blocked"), on_block(F.col("block_reason")))}).drop("_body")
 
 
 def split(screened: DataFrame) -> tuple[DataFrame, DataFrame]:

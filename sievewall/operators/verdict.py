@@ -28,10 +28,10 @@ def max_severity(results: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SEVERITIES)), F.coalesce(top, F.lit(0)) + 1)
 
 
-def blocking(results: Column, block: Iterable[str] = BLOCKED) -> Column:
-    """The results that block: threats of a blocked category, or critical."""
+def blocking(results: Column, block: Iterable[str] = BLOCKED, least: float = 0.0) -> Column:
+    """The results that block: threats of a blocked category, or critical, with a confidence of at least ``least``."""
     block = tuple(block)
-    return F.filter(results, lambda r: r["is_threat"] & ((r["category"].isin(*block) if block else F.lit(False)) | (r["severity"] == "critical")))
+    return F.filter(results, lambda r: r["is_threat"] & (r["confidence"] >= least) & ((r["category"].isin(*block) if block else F.lit(False)) | (r["severity"] == "critical")))
 
 
 class Screening:
@@ -39,10 +39,16 @@ class Screening:
 
     A detector of one's own is a function from the text column to a column of type ``RESULT``.
     If it can't be built, its row says so and is safe, as screening fails open.
+
+    rules: detectors by name, as ``rulebook`` makes them; one that is missing there is switched off.
+    max_input_length: code points of a text that are screened (None: all). min_confidence: what a
+    threat must reach to block.
     """
 
-    def __init__(self, block: Iterable[str] = BLOCKED, threshold: float = similarity.THRESHOLD) -> None:
+    def __init__(self, block: Iterable[str] = BLOCKED, threshold: float = similarity.THRESHOLD, rules: dict[str, detectors.Detector] | None = None, max_input_length: int | None = None, min_confidence: float = 0.0) -> None:
         self.block, self.threshold = tuple(block), threshold
+        self.rules = detectors.DETECTORS if rules is None else rules
+        self.max_input_length, self.min_confidence = max_input_length, min_confidence
         self._detectors: list[tuple[str, Callable[[Column], Column] | None]] = []
 
     @classmethod
@@ -54,7 +60,7 @@ class Screening:
         return out
 
     def add(self, name: str, build: Callable[[Column], Column] | None = None) -> Screening:
-        if build is None and name not in ORDER:
+        if build is None and name not in ORDER and name not in self.rules:
             raise PipelineError(f"no detector is called {name!r}")
         self._detectors.append((name, build))
         return self
@@ -74,19 +80,25 @@ class Screening:
 
         context: the columns of user_role, request_type and data_classification.
         """
-        column = F.col(text)
         found, results = {}, []
-        own = [detectors.DETECTORS[name] for name, build in self._detectors if build is None and name in detectors.DETECTORS]
+        own = [self.rules[name] for name, build in self._detectors if build is None and name in self.rules]
         before = df.columns
-        df = detectors.scan(df, text, own) if own else df
+        if self.max_input_length is None:
+            column = F.col(text)
+        else:
+            df = df.withColumn("_cut", F.substring(text, 1, self.max_input_length))
+            column = F.col("_cut")
+        df = detectors.scan(df, text if self.max_input_length is None else "_cut", own) if own else df
         for name, build in self._detectors:
             if build is not None:
                 try:
                     results.append(build(column))
                 except Exception as e:
                     results.append(_failed(name, DetectionError(f"Detector error: {e}", name, e)))
+            elif name in self.rules:
+                results.append(F.expr(detectors.result_sql(self.rules[name])))
             elif name in detectors.DETECTORS:
-                results.append(F.expr(detectors.result_sql(detectors.DETECTORS[name])))
+                continue  # switched off
             elif name == "vector_similarity":
                 found["_similar"] = similarity.scores(column)
                 results.append(similarity.result(column, F.col("_similar"), self.threshold))
@@ -97,14 +109,14 @@ class Screening:
         # The partition's number isn't deterministic to Spark, which so keeps filters on the verdict above this
         # projection: pushed below it, they would hold the whole of it again for each column they name.
         every = F.when(F.spark_partition_id() >= 0, every)
-        out = out.withColumn("results", every).select(*before, "results").withColumn("_blocking", blocking(F.col("results"), self.block))
+        out = out.withColumn("results", every).select(*before, "results").withColumn("_blocking", blocking(F.col("results"), self.block, self.min_confidence))
         sanitized = F.get(F.filter("results", lambda r: F.coalesce(r["sanitized_input"], F.lit("")) != ""), F.lit(0))["sanitized_input"]
         return out.withColumns({
             "blocked": F.size("_blocking") > 0,
             "block_reason": F.coalesce(F.get("_blocking", F.lit(0))["reason"], F.lit("")),
             "block_detector": F.coalesce(F.get("_blocking", F.lit(0))["detector"], F.lit("")),
             "severity": max_severity(F.col("results")),
-            "sanitized_text": F.coalesce(sanitized, column),
+            "sanitized_text": F.coalesce(sanitized, F.col(text)),
             "allowed": F.size("_blocking") == 0,
         }).drop("_blocking")
 

@@ -6,6 +6,7 @@ the same ones in both engines. No row is left out.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,13 +14,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dialect
+from ..functions import dialect, rulebook
 from ..functions.rules import ACCESS_TREE
 from ..functions.schema import BLOCKED, SEVERITIES, WEIGHTS
 from ..operators import access, detectors, gate, protect, session, similarity
 from ..operators.detectors import DETECTORS, quoted
 from ..operators.verdict import ORDER, Screening
-from ..sources.tables import stream, table
+from ..sources.tables import spread, stream, table
 from ..streaming import screen
 
 #: Prompts of our own, a few for each detector and rung.
@@ -58,7 +59,7 @@ TURN = "conv_id * 13 + turn"
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spliced(table(spark, sf_dir, "conversations"), TURN)
+    return _spliced(spread(table(spark, sf_dir, "conversations")), TURN)
 
 
 SQL_TURNS = _sql_spliced("conversations", TURN, "conv_id, turn, role")
@@ -103,7 +104,8 @@ def _detector_query(name: str) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = DETECTORS[name]
-        out = detectors.scan(_spliced(table(spark, sf_dir, source), number, text), "text", [d]).withColumn("r", F.expr(detectors.result_sql(d)))
+        rows = _spliced(spread(table(spark, sf_dir, source).select(*{*re.findall(r"\w+_id|turn", f"{number}, {keys}"), text})), number, text)
+        out = detectors.scan(rows.select(*keys.split(", "), "text"), "text", [d]).withColumn("r", F.expr(detectors.result_sql(d)))
         return out.select(*keys.split(", "), "r.is_threat", "r.severity", F.round("r.confidence", 4).alias("confidence"), F.expr(f"cast(_n_{name}.A AS bigint)").alias("n_hits"))
 
     query(f"det_{_NAMES[name]}", _sql_detector(name, _sql_spliced(source, number, keys, text), keys))(run)
@@ -124,7 +126,7 @@ def det_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hit of the detector for pages, with its text."""
     d = DETECTORS["indirect_injection"]
     order = F.create_map(*[x for i, (b, n, _) in enumerate(d.rules) for x in (F.lit(f"{b}/{n}"), F.lit(i))])
-    rows = detectors.scan(_spliced(table(spark, sf_dir, "pages"), "page_id", "html"), "text", [d]).select("page_id", F.explode_outer(detectors.hits_of(d)).alias("h")).where("h IS NOT NULL")
+    rows = detectors.scan(_spliced(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "page_id", "html"), "text", [d]).select("page_id", F.explode_outer(detectors.hits_of(d)).alias("h")).where("h IS NOT NULL")
     return rows.select("page_id", order[F.concat("h.bucket", F.lit("/"), "h.name")].alias("seq"), "h.bucket", F.col("h.name").alias("rule"), "h.match")
 
 
@@ -134,8 +136,8 @@ def det_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_scores(source: str = SQL_TURNS) -> str:
     idf, vectors = similarity.weights()
     words = ", ".join(f"({quoted(w)}, {x!r}::DOUBLE)" for w, x in idf.items())
-    pairs = ", ".join(f"({i}, {quoted(label)}, {quoted(w)}, {x!r}::DOUBLE)" for i, ((label, _, _), v) in enumerate(zip(similarity.ATTACKS, vectors, strict=True)) for w, x in v.items())
-    labels = ", ".join(f"({i}, {quoted(label)})" for i, (label, _, _) in enumerate(similarity.ATTACKS))
+    pairs = ", ".join(f"({i}, {quoted(label)}, {quoted(w)}, {x!r}::DOUBLE)" for i, ((label, _), v) in enumerate(zip(similarity.ATTACKS, vectors, strict=True)) for w, x in v.items())
+    labels = ", ".join(f"({i}, {quoted(label)})" for i, (label, _) in enumerate(similarity.ATTACKS))
     return f"""
         WITH src AS ({source}), idf(w, x) AS (VALUES {words}), attacks(seq, label, w, x) AS (VALUES {pairs}), labels(seq, label) AS (VALUES {labels}),
         words AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), '{similarity.WORD}')) AS w FROM src),
@@ -143,7 +145,7 @@ def _sql_scores(source: str = SQL_TURNS) -> str:
         norms AS (SELECT conv_id, turn, sqrt(sum(x * x)) AS n FROM own GROUP BY ALL),
         dots AS (SELECT conv_id, turn, a.seq, sum(own.x * a.x) AS d FROM own JOIN attacks a ON own.w = a.w GROUP BY ALL),
         scores AS (
-            SELECT s.conv_id, s.turn, l.seq, l.label, round(coalesce(d.d / nullif(n.n, 0), 0), 6) AS score
+            SELECT s.conv_id, s.turn, l.seq, l.label, coalesce(d.d / nullif(n.n, 0), 0) AS raw, round(raw, 6) AS score
             FROM src s CROSS JOIN labels l LEFT JOIN norms n ON n.conv_id = s.conv_id AND n.turn = s.turn
             LEFT JOIN dots d ON d.conv_id = s.conv_id AND d.turn = s.turn AND d.seq = l.seq
         )
@@ -190,6 +192,18 @@ def acl_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("d", access.decide({c: F.col(c) for c in _CONTEXT})).select("event_id", "d.action", "d.reason")
 
 
+def _sql_of_action(i: int) -> str:
+    return "CASE action " + " ".join(f"WHEN '{a}' THEN {quoted(v[i]) if isinstance(v[i], str) else f'{v[i]}::DOUBLE'}" for a, v in access.ACTIONS.items()) + " END"
+
+
+@query("acl_results", f"SELECT event_id, has_context AND action <> 'allow' AS is_threat, CASE WHEN has_context THEN {_sql_of_action(0)} ELSE 'info' END AS severity, CASE WHEN has_context THEN {_sql_of_action(1)} ELSE 0::DOUBLE END AS confidence, CASE WHEN has_context THEN {_sql_of_action(2)} || reason ELSE 'No ACL context provided, allowing by default' END AS reason FROM (SELECT event_id, coalesce(user_role, request_type, data_classification) IS NOT NULL AS has_context, {_sql_access()[0]} AS action, {_sql_access()[1]} AS reason FROM (SELECT event_id, {', '.join(f'{sql} AS {c}' for c, sql in _CONTEXT.items())} FROM events))")
+def acl_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The access detector's result of each event."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", *[F.expr(sql).alias(c) for c, sql in _CONTEXT.items()])
+    out = rows.withColumn("r", access.result(F.lit("a request"), {c: F.col(c) for c in _CONTEXT}))
+    return out.select("event_id", "r.is_threat", "r.severity", "r.confidence", "r.reason")
+
+
 # Verdicts.
 
 _RANK = "CASE severity " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SEVERITIES)) + " END"
@@ -206,7 +220,8 @@ def _sql_results(source: str, keys: str, names: tuple[str, ...] = ORDER) -> str:
         counts = detectors.counts_sql(d)
         severity, _ = detectors.ladder_sql(d)
         ctes.append(f"c{i} AS (SELECT {keys}, {', '.join(f'({sql}) AS {x}' for x, sql in counts.items())} FROM texts)")
-        parts.append(f"SELECT {keys}, {i} AS seq, '{name}' AS detector, '{d.category}' AS category, A > 0 AS is_threat, {severity} AS severity FROM (SELECT *, {' + '.join(counts)} AS A FROM c{i})")
+        reason = " || ', ' || ".join(f"{k}::VARCHAR || ' {' + '.join(b)}'" for k, b in d.counts.items())
+        parts.append(f"SELECT {keys}, {i} AS seq, '{name}' AS detector, '{d.category}' AS category, A > 0 AS is_threat, {severity} AS severity, '{d.says} detected: ' || {reason} AS reason, A AS n FROM (SELECT *, {' + '.join(counts)} AS A FROM c{i})")
     return f"WITH {', '.join(ctes)}, results AS ({' UNION ALL '.join(parts)})"
 
 
@@ -239,25 +254,99 @@ def pipeline_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(turns(spark, sf_dir)).select("conv_id", "turn", "blocked", "block_detector", "severity", "n_threats")
 
 
-@query("pipeline_full")
+_ROLE = "CASE role WHEN 'assistant' THEN 'agent' WHEN 'user' THEN 'user' END"
+_BLANK = f"regexp_matches(coalesce(text, ''), {quoted(dialect.BLANK)})"
+
+
+def _sql_full() -> str:
+    """The verdict of all eleven detectors."""
+
+    def of(i: int) -> str:
+        return "CASE action " + " ".join(f"WHEN '{a}' THEN {quoted(v[i]) if isinstance(v[i], str) else v[i]}" for a, v in access.ACTIONS.items()) + " END"
+
+    similar = f"""
+        SELECT s.conv_id, s.turn, {ORDER.index("vector_similarity")} AS seq, 'vector_similarity' AS detector, 'direct_injection' AS category, TRUE AS is_threat,
+               CASE WHEN top >= 0.95 THEN 'critical' WHEN top >= 0.9 THEN 'high' ELSE 'medium' END AS severity,
+               printf('Similar to %d known attacks, best %.3f (%s)', n, top, label) AS reason, least(n, {similarity.TOP}) AS n
+        FROM (SELECT conv_id, turn, count(*) AS n, max(raw) AS top, arg_min(label, (-raw, seq)) AS label FROM scores WHERE raw >= {similarity.THRESHOLD} GROUP BY conv_id, turn) s
+    """
+    allowed = f"""
+        SELECT conv_id, turn, {ORDER.index("acl_decision_tree")} AS seq, 'acl_decision_tree' AS detector, 'direct_injection' AS category, action <> 'allow' AND NOT blank AS is_threat,
+               {of(0)} AS severity, {of(2)} || reason AS reason, 1 AS n
+        FROM (SELECT conv_id, turn, blank, {_sql_access()[0]} AS action, {_sql_access()[1]} AS reason
+              FROM (SELECT conv_id, turn, {_BLANK} AS blank, {_ROLE} AS user_role, 'query' AS request_type, NULL::VARCHAR AS data_classification FROM src))
+    """
+    nine_ = _sql_results(SQL_TURNS, "conv_id, turn").removeprefix(f"WITH src AS ({SQL_TURNS}), ").replace("results AS (", "nine AS (", 1)
+    return f"""{_sql_scores().rstrip()}, {nine_}, results AS (SELECT * FROM nine UNION ALL {similar} UNION ALL {allowed}), verdicts AS (
+        SELECT conv_id, turn, coalesce(bool_or({_BLOCKS}), FALSE) AS blocked, coalesce(arg_min(detector, seq) FILTER (WHERE {_BLOCKS}), '') AS block_detector,
+               coalesce(arg_min(reason, seq) FILTER (WHERE {_BLOCKS}), '') AS block_reason,
+               list_extract([{", ".join(map(quoted, SEVERITIES))}], (max(CASE WHEN is_threat THEN {_RANK} ELSE 0 END) + 1)::INTEGER) AS severity,
+               coalesce(sum(n) FILTER (WHERE is_threat), 0)::INTEGER AS n_matches
+        FROM results GROUP BY conv_id, turn)
+    """
+
+
+def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns(spark, sf_dir).withColumns({"user_role": F.expr(_ROLE), "request_type": F.lit("query"), "data_classification": F.lit(None).cast("string")})
+    return Screening.full().run(rows, context={c: c for c in _CONTEXT})
+
+
+@query("pipeline_full", _sql_full() + "SELECT * FROM verdicts")
 def pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All eleven detectors; the reason and the number of matches of each turn."""
-    rows = turns(spark, sf_dir).withColumns({"user_role": F.when(F.col("role") == "assistant", "agent").when(F.col("role") == "user", "user"), "request_type": F.lit("query"), "data_classification": F.lit(None).cast("string")})
-    out = Screening.full().run(rows, context={c: c for c in _CONTEXT})
-    return out.select("conv_id", "turn", "blocked", "block_detector", "block_reason", "severity", F.size(F.flatten(F.transform("results", lambda r: r["matches"]))).alias("n_matches"))
+    return _full(spark, sf_dir).select("conv_id", "turn", "blocked", "block_detector", "block_reason", "severity", F.size(F.flatten(F.transform("results", lambda r: r["matches"]))).alias("n_matches"))
+
+
+@query("pipeline_safe", _sql_full() + f"SELECT v.conv_id, v.turn, NOT v.blocked AS allowed, sha256(s.text) AS safe_sha256 FROM verdicts v JOIN ({SQL_TURNS}) s ON s.conv_id = v.conv_id AND s.turn = v.turn")
+def pipeline_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each turn may pass, and the text that passes."""
+    return _full(spark, sf_dir).select("conv_id", "turn", "allowed", F.sha2("sanitized_text", 256).alias("safe_sha256"))
+
+
+#: A table of rules of one's own: a section that replaces a built-in one's, one that is switched off, a new one, and a pattern that is none.
+OWN_RULES = [
+    ("goal_hijack", "drift_keywords", "swap_goal", r"\b(swap|change)\s+the\s+goal", True), ("goal_hijack", "escalation", "root", r"\broot\b", True), ("goal_hijack", "escalation", "broken", "(", True),
+    ("exfiltration", "endpoint_injection", "any_url", "https?://", False),
+    ("house_rules", "high", "repeated", r"(?:very\s+)+urgent|\bDAN\b", True), ("house_rules", "medium", "asks", r"\bwhat\s+if\b", True), ("house_rules", "low", "polite", r"\bplease\b", True),
+]
+
+
+def _own_detectors() -> dict[str, detectors.Detector]:
+    book: rulebook.Book = {}
+    for name, bucket, rule, pattern, enabled in OWN_RULES:
+        book.setdefault(name, {"enabled": enabled}).setdefault(bucket, []).append({"name": rule, "pattern": pattern})
+    return rulebook.detectors(book)
+
+
+def _sql_own() -> str:
+    parts = []
+    for name in ("goal_hijack", "house_rules"):
+        d = _own_detectors()[name]
+        counts, severity = detectors.counts_sql(d), detectors.ladder_sql(d)[0]
+        parts.append(f"SELECT conv_id, turn, '{name}' AS detector, A > 0 AS is_threat, {severity} AS severity, A::BIGINT AS n_hits FROM (SELECT *, {' + '.join(counts)} AS A FROM (SELECT conv_id, turn, {', '.join(f'({x}) AS {k}' for k, x in counts.items())} FROM src))")
+    return f"WITH src AS ({SQL_TURNS}) {' UNION ALL '.join(parts)}"
+
+
+@query("own_rules", _sql_own())
+def own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors made from a table of rules, one of them switched off there."""
+    book = rulebook.from_table(spark.createDataFrame(OWN_RULES, "detector string, bucket string, name string, pattern string, enabled boolean"))
+    screening = Screening(rules=rulebook.detectors(book)).add("goal_hijack").add("exfiltration").add("house_rules")
+    rows = screening.run(turns(spark, sf_dir)).select("conv_id", "turn", F.explode("results").alias("r"))
+    return rows.select("conv_id", "turn", "r.detector", "r.is_threat", "r.severity", F.size("r.matches").cast("long").alias("n_hits"))
 
 
 @query("threat_report", _sql_results(_sql_spliced("documents", "doc_id", "doc_id, lang"), "doc_id, lang", ("direct_injection", "exfiltration", "content_framing")) + "SELECT lang, detector, severity, count(*) AS n FROM results WHERE is_threat GROUP BY ROLLUP (lang, detector, severity)")
 def threat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threats in documents by language, detector and severity, with subtotals."""
     screening = Screening().add("direct_injection").add("exfiltration").add("content_framing")
-    rows = screening.run(_spliced(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")).select("lang", F.explode_outer("results").alias("r")).where("r.is_threat")
+    rows = screening.run(_spliced(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "doc_id")).select("lang", F.explode_outer("results").alias("r")).where("r.is_threat")
     return rows.select("lang", "r.detector", "r.severity").rollup("lang", "detector", "severity").agg(F.count("*").alias("n"))
 
 
 @query("threat_vs_label", _sql_verdicts(_sql_spliced("documents", "doc_id", "doc_id"), "doc_id") + "SELECT l.toxic, v.blocked, count(*) AS n FROM verdicts v JOIN labels l ON l.doc_id = v.doc_id GROUP BY ALL")
 def threat_vs_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = _verdicts(_spliced(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")).select("doc_id", "blocked")
+    verdicts = _verdicts(_spliced(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")).select("doc_id", "blocked")
     return verdicts.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").groupBy("toxic", "blocked").agg(F.count("*").alias("n"))
 
 
@@ -288,13 +377,13 @@ _PAGES = "SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN ' <|system|> da
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(F.col("page_id") % 3 == 0, " <|system|> data:text/html;base64,QUJD").otherwise("​‌‍")
-    return table(spark, sf_dir, "pages").select("page_id", F.concat("html", tail).alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.concat("html", tail).alias("text"))
 
 
 @query("sanitize_html", _sql_sanitized(_PAGES, "page_id") + "SELECT page_id, sha256(clean) AS clean_sha256, length(clean) AS n_chars FROM clean")
 def sanitize_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).withColumn("s", protect.sanitize(F.col("text")))
-    return rows.select("page_id", F.sha2("s.clean", 256).alias("clean_sha256"), F.length("s.clean").cast("long").alias("n_chars"))
+    rows = protect.sanitize(_pages(spark, sf_dir))
+    return rows.select("page_id", F.sha2("clean", 256).alias("clean_sha256"), F.length("clean").cast("long").alias("n_chars"))
 
 
 _REMOVALS = " || ".join(f"CASE WHEN r_{x} THEN '{x};' ELSE '' END" for x, _, _ in protect.STAGES)
@@ -302,14 +391,14 @@ _REMOVALS = " || ".join(f"CASE WHEN r_{x} THEN '{x};' ELSE '' END" for x, _, _ i
 
 @query("sanitize_removals", _sql_sanitized(_PAGES, "page_id") + f"SELECT page_id, ({_REMOVALS}) <> '' AS modified, {_REMOVALS} AS removals FROM clean")
 def sanitize_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).withColumn("s", protect.sanitize(F.col("text")))
-    return rows.select("page_id", "s.modified", F.concat_ws("", F.transform("s.removals", lambda x: F.concat(x, F.lit(";")))).alias("removals"))
+    rows = protect.sanitize(_pages(spark, sf_dir))
+    return rows.select("page_id", "modified", F.concat_ws("", F.transform("removals", lambda x: F.concat(x, F.lit(";")))).alias("removals"))
 
 
 @query("validate_outputs", " UNION ALL ".join(f"SELECT doc_id, {i} AS seq, '{t}' AS type, '{c}' AS category, substring(m, 1, {protect.CUT}) AS match FROM (SELECT doc_id, regexp_extract(coalesce(text, ''), {quoted(dialect.render(p, 'duckdb', ''))}, 0, '{f or 'c'}') AS m FROM documents) WHERE m <> ''" for i, (t, c, p, f) in enumerate(protect.CHECKS)))
 def validate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.create_map(*[x for i, (t, *_) in enumerate(protect.CHECKS) for x in (F.lit(t), F.lit(i))])
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(protect.validate(F.col("text"))).alias("i"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(protect.validate(F.col("text"))).alias("i"))
     return rows.select("doc_id", seq[F.col("i.type")].alias("seq"), "i.type", "i.category", "i.match")
 
 
@@ -337,6 +426,15 @@ def canary_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("found_conv_id").alias("conv_id")).agg(F.count("*").alias("n_leaked"), F.min("secret").alias("first_secret"))
 
 
+@query("canary_report", f"SELECT c.conv_id, coalesce(l.n, 0) > 0 AS has_leak, coalesce(l.n, 0) AS total_leaked, coalesce(l.first_secret, '') AS first_secret, (SELECT count(*) FROM ({_MARKED}) WHERE turn % 3 = 1) AS total_inserted FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, count(*) AS n, min(secret) AS first_secret FROM ({_MARKED}) WHERE turn % 3 = 1 AND conv_id % 4 > 0 GROUP BY conv_id) l ON l.conv_id = c.conv_id")
+def canary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as an output, with or without a leak; one in four has no markers in it."""
+    marked = _marked(spark, sf_dir)
+    outputs = gate.chats(marked.select("conv_id", "turn", F.when(F.expr("conv_id % 4 > 0"), F.col("marked")).otherwise(F.col("text")).alias("text")), "conv_id", "turn")
+    found = protect.canary_report(outputs, marked.where("turn % 3 = 1").select("secret"), "conv_id")
+    return found.select("conv_id", "has_leak", "total_leaked", F.coalesce(F.get("leaked_secrets", F.lit(0)), F.lit("")).alias("first_secret"), "total_inserted")
+
+
 # Gates and sessions.
 
 _CHATS = f"SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM ({SQL_TURNS}) GROUP BY conv_id"
@@ -352,18 +450,23 @@ _PATHS = "CASE WHEN page_id % 7 = 0 THEN '/health' WHEN page_id % 7 = 1 THEN '/d
 _BODIES = _sql_spliced("pages", "page_id", f"page_id, {_METHODS} AS method, {_PATHS} AS path", "url")
 
 
-@query("request_gate", _sql_verdicts(f"SELECT page_id, CASE WHEN path = '/health' OR path LIKE '/docs%' THEN '' ELSE text END AS text FROM ({_BODIES})", "page_id") + "SELECT page_id, NOT blocked AS passed, severity FROM verdicts")
+@query("request_gate", _sql_verdicts(f"SELECT page_id, CASE WHEN method = 'GET' OR path = '/health' OR path LIKE '/docs%' THEN '' ELSE text END AS text FROM ({_BODIES})", "page_id") + "SELECT page_id, NOT blocked AS passed, severity FROM verdicts")
 def request_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw-body gate, which excludes by the beginning of the path."""
+    """The raw-body gate: only some methods, exclusion by the beginning of the path."""
     rows = _spliced(table(spark, sf_dir, "pages"), "page_id", "url").select("page_id", F.expr(_METHODS).alias("method"), F.expr(_PATHS).alias("path"), F.col("text").alias("body"))
     return gate.request_gate(rows, nine(), prefix=True).select("page_id", "passed", "severity")
 
 
-@query("request_gate_json")
+_JSON = "CASE WHEN page_id % 11 = 0 THEN '{}' WHEN page_id % 3 = 0 THEN json_object('text', text)::VARCHAR ELSE to_json(text)::VARCHAR END"
+_SCANNED = "method <> 'GET' AND path NOT IN ('/health', '/docs') AND page_id % 11 <> 0"
+
+
+@query("request_gate_json", _sql_verdicts(f"SELECT page_id, CASE WHEN {_SCANNED} THEN {_JSON} ELSE '' END AS text FROM ({_BODIES})", "page_id") + f"SELECT v.page_id, {_SCANNED} AS scanned, NOT blocked AS passed, severity FROM verdicts v JOIN ({_BODIES}) b ON b.page_id = v.page_id".replace("page_id % 11", "v.page_id % 11"))
 def request_gate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON-body gate: only some methods, exclusion by equal paths."""
-    rows = _spliced(table(spark, sf_dir, "pages"), "page_id", "url").select("page_id", F.expr(_METHODS).alias("method"), F.expr(_PATHS).alias("path"), F.col("text").alias("body"))
-    return gate.request_gate(rows, nine()).select("page_id", "scanned", "passed", "severity")
+    """The JSON-body gate: only some methods, exclusion by equal paths; bodies are empty objects, objects and strings."""
+    rows = _spliced(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", "url").select("page_id", F.expr(_METHODS).alias("method"), F.expr(_PATHS).alias("path"), "text")
+    sent = F.when(F.expr("page_id % 11 = 0"), " { } ").when(F.expr("page_id % 3 = 0"), F.concat(F.lit("  "), F.to_json(F.struct("text")))).otherwise(F.col("text"))
+    return gate.request_gate(rows.withColumn("body", sent), nine()).select("page_id", "scanned", "passed", "severity")
 
 
 _WEIGHT = "CASE severity " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in WEIGHTS.items()) + " END"
@@ -405,6 +508,14 @@ def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.summary(_screened(spark, sf_dir), "conv_id", "turn").select("conv_id", "entries", "recent_entries", "threats", "blocked_turns", F.round("escalation", 6).alias("escalation"))
 
 
+@query("session_clear", "SELECT conv_id, count(*) AS entries FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id")
+def session_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that are left when every third has been cleared."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").withColumns({"blocked": F.lit(False), "severity": F.lit("info")})
+    left = session.clear(rows, "conv_id", rows.where("conv_id % 3 = 0").select("conv_id"))
+    return session.summary(left, "conv_id", "turn").select("conv_id", "entries")
+
+
 # Streams, run over all that is there into a table of the shared folder.
 
 
@@ -427,7 +538,8 @@ def stream_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, screen.verdicts(rows, nine()).select("conv_id", "turn", "blocked", "severity", "block_detector"), "verdicts")
 
 
-@query("stream_escalation")
+@query("stream_escalation", _HISTORY + "SELECT conv_id, turn, round(escalation, 6) AS escalation FROM scored")
 def stream_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _spliced(stream(spark, sf_dir, "conversations"), TURN)
-    return _streamed(spark, screen.escalations(screen.verdicts(rows, nine()).select("conv_id", "turn", "blocked", "severity")), "escalations")
+    out = _streamed(spark, screen.escalations(screen.verdicts(rows, nine()).select("conv_id", "turn", "blocked", "severity")), "escalations")
+    return out.withColumn("escalation", F.round("escalation", 6))

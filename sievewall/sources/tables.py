@@ -10,6 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of input for each core above which a table's own partitions are enough.
+SPREAD = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores, if it is so small that its files may leave most of them idle.
+
+    Small tables often have one row group, which one task reads; what follows is work on each row.
+    Tables of ``SPREAD`` bytes a core or more stay as they are: they have partitions enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df if size >= cores * SPREAD else df.repartition(cores)
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files."""
     schema = table(spark, sf_dir, name).schema
