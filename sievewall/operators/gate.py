@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
 from .verdict import Screening
 
 METHODS, EXCLUDED = ("POST", "PUT", "PATCH"), ("/health", "/docs")
@@ -20,7 +21,7 @@ def chats(turns: DataFrame, session: str, order: str, text: str = "text") -> Dat
 
 def chat_gate(turns: DataFrame, session: str, order: str, screening: Screening, text: str = "text") -> DataFrame:
     """A verdict for each chat as a whole."""
-    return screening.run(chats(turns, session, order, text))
+    return screening.run(dealt(chats(turns, session, order, text)))
 
 
 def json_text(body: Column) -> Column:

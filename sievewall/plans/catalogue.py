@@ -20,7 +20,7 @@ from ..functions.schema import BLOCKED, SEVERITIES, WEIGHTS
 from ..operators import access, detectors, gate, protect, session, similarity
 from ..operators.detectors import DETECTORS, quoted
 from ..operators.verdict import ORDER, Screening
-from ..sources.tables import spread, stream, table
+from ..sources.tables import dealt, spread, stream, table
 from ..streaming import screen
 
 #: Prompts of our own, a few for each detector and rung.
@@ -354,7 +354,7 @@ def threat_vs_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_dup_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each different text is screened once, and its verdict joined back to all its copies."""
     docs = _spliced(table(spark, sf_dir, "documents").select("doc_id", "text"), "length(text)").withColumns({"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(7), "text")})
-    once = _verdicts(docs.dropDuplicates(["_a", "_b"]).select("_a", "_b", "text")).select("_a", "_b", "blocked", "severity")
+    once = _verdicts(dealt(docs.dropDuplicates(["_a", "_b"]).select("_a", "_b", "text"))).select("_a", "_b", "blocked", "severity")
     return docs.select("doc_id", "_a", "_b").join(once, ["_a", "_b"]).select("doc_id", "blocked", "severity")
 
 

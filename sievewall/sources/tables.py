@@ -10,15 +10,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of input for each core above which a table's own partitions are enough.
-SPREAD = 128 << 20
+#: Bytes for each core above which the partitions that a shuffle leaves are enough.
+SPREAD = 64 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out over all cores, if it is so small that its files may leave most of them idle.
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt out over all cores if it has fewer partitions than there are cores.
 
-    Small tables often have one row group, which one task reads; what follows is work on each row.
-    Tables of ``SPREAD`` bytes a core or more stay as they are: they have partitions enough.
+    A small table is often one file, which one task would read and screen; a large one stays as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The result of a shuffle, dealt out over all cores if Spark estimates it as so small that it would be merged into a few tasks.
+
+    What follows is work on each row that its bytes don't show.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
