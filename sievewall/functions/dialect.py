@@ -91,6 +91,8 @@ def _runs(tree) -> list[frozenset[str]]:
             found += _runs(value[-1])
         elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0] >= 1:
             found += _runs(value[2])
+        elif op is _constants.IN and all(o is _constants.LITERAL and v > 127 for o, v in value):
+            found.append(frozenset(chr(v).lower() for _, v in value))
         elif op is _constants.BRANCH:
             each = [_best(_runs(x)) for x in value[1]]
             if all(each):
@@ -98,12 +100,22 @@ def _runs(tree) -> list[frozenset[str]]:
     return [*found, frozenset([run])] if run else found
 
 
+def _width(word: str) -> int:
+    """How telling a string is: its length, and a character outside ASCII as much as two."""
+    return len(word.encode())
+
+
 def _best(sets: list[frozenset[str]]) -> frozenset[str]:
-    return max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=frozenset())
+    return max(sets, key=lambda s: (min(map(_width, s)), -len(s)), default=frozenset())
 
 
 @lru_cache(None)
+def gates(pattern: str) -> tuple[frozenset[str], ...]:
+    """Sets of small-letter strings: any match holds, in small letters, one of each. The most telling set first; none if there is none worth a look."""
+    worth = {s for s in _runs(_parser.parse(pattern)) if s and min(map(_width, s)) >= 2}
+    return tuple(sorted(worth, key=lambda s: (-min(map(_width, s)), len(s), sorted(s))))
+
+
 def gate(pattern: str) -> frozenset[str]:
-    """Small-letter strings of which any match holds one, in small letters; empty if there are none worth a look."""
-    best = _best(_runs(_parser.parse(pattern)))
-    return best if best and min(map(len, best)) >= 2 else frozenset()
+    """The most telling set of ``gates``; empty if there is none."""
+    return next(iter(gates(pattern)), frozenset())

@@ -122,8 +122,10 @@ def _hits(d: Detector, at: dict[str, int]) -> str:
     out = []
     for bucket, name, pattern in d.rules:
         match = _RUN if d.decodes and name == "base64_payload" else _extract(pattern)
-        if words := sorted(dialect.gate(pattern)):
-            match = f"CASE WHEN {' OR '.join(f'_has[{at[w]}]' for w in words)} THEN {match} ELSE '' END"
+        if sets := dialect.gates(pattern):
+            first = " OR ".join(f"_has[{at[w]}]" for w in sorted(sets[0]))
+            more = [" OR ".join(f"contains(_low, {literal(w)})" for w in sorted(x)) for x in sets[1:]]
+            match = f"CASE WHEN {' AND '.join(f'({x})' for x in (first, *more))} THEN {match} ELSE '' END"
         out.append((bucket, name, match))
     if d.decodes:
         out.append(("stealth", DECODED_RULE, _decoded()))
@@ -145,18 +147,20 @@ def scan(df: DataFrame, text: str, ds: Iterable[Detector]) -> DataFrame:
     """``df`` with ``_text`` and each detector's hits and counts (``_n_`` and its name).
 
     Rules share literals; each is looked for once, in small letters made once (``_has``). Most texts
-    hold few, and a rule's pattern is searched only where one of its literals is. Every step is a
+    hold few, and a rule's pattern is searched only where one of its literals is, and one of each
+    further set that any match must hold. Every step is a
     projection of its own, whose columns the next uses more than once, so that Spark doesn't merge
     them and evaluate them again for every use.
     """
     ds = list(ds)
     at = {w: i for i, w in enumerate(_literals(ds), 1)}
     lower = df.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_low", F.lower("_text"))
-    held = lower.withColumn("_has", F.expr(f"array({', '.join(['false', *(f'contains(_low, {literal(w)})' for w in at)])})")).drop("_low")
-    runs = [_base64(d) for d in ds if d.decodes]
+    held = lower.withColumn("_has", F.expr(f"array({', '.join(['false', *(f'contains(_low, {literal(w)})' for w in at)])})"))
+    runs = [d for d in ds if d.decodes]
     if runs:
-        held = held.withColumn(_RUN, F.expr(_extract(runs[0]))).withColumn(_SAID, F.expr(f"lower(make_valid_utf8(cast(try_to_binary(nullif({_RUN}, ''), 'base64') AS string)))"))
-    found = held.withColumns({hits_of(d): F.expr(_hits(d, at)) for d in ds}).drop("_has", _RUN, _SAID)
+        worth = "true" if runs[0].own else "_text RLIKE '[A-Za-z0-9+/]{20}'"  # what the built-in rule's matches hold
+        held = held.withColumn(_RUN, F.expr(f"CASE WHEN {worth} THEN {_extract(_base64(runs[0]))} ELSE '' END")).withColumn(_SAID, F.expr(f"lower(make_valid_utf8(cast(try_to_binary(nullif({_RUN}, ''), 'base64') AS string)))"))
+    found = held.withColumns({hits_of(d): F.expr(_hits(d, at)) for d in ds}).drop("_has", "_low", _RUN, _SAID)
     return found.withColumns({f"_n_{d.name}": F.expr(_counts(d)) for d in ds})
 
 
