@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewall.llm import _io, line_dedup, near_dedup, packing, pii, quality, tokens
-from sievewall.llm.queries import BPE
+from sievewall.llm.queries import BPE, heavy
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``. What a stage wrote for itself goes when its result is written, and each result when the next one is."""
-    docs, before = _io.table(spark, sf_dir, "documents"), None
+    docs, before = heavy(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         with _io.scope():
             docs = _io.materialize(stage(spark, docs, sf_dir), name, keep=True)

@@ -7,52 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import embed_dedup, html, licenses, line_dedup, near_dedup, packing, pii, quality, sampling, syncmers, tokens
 from ._io import table
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
+def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that is worked on row by row: if it is so small that a few tasks would read it, dealt out over all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.scan(table(spark, sf_dir, "documents"))
+    return pii.scan(heavy(spark, sf_dir, "documents"))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.near_embeddings(table(spark, sf_dir, "embeddings"), 0.95)
+    return embed_dedup.near_embeddings(heavy(spark, sf_dir, "embeddings"), 0.95)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.digests(table(spark, sf_dir, "documents"), tokens.public_path(PIECES))
+    return sampling.digests(heavy(spark, sf_dir, "documents"), tokens.public_path(PIECES))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_components(table(spark, sf_dir, "documents"))
+    return line_dedup.line_components(heavy(spark, sf_dir, "documents"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = syncmers.fingerprints(table(spark, sf_dir, "documents"))
+    out = syncmers.fingerprints(heavy(spark, sf_dir, "documents"))
     return out.withColumns({c: F.sha2(c, 256) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    return html.extract(heavy(spark, sf_dir, "pages"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokens.public_path(BPE))
+    return packing.pack(heavy(spark, sf_dir, "documents"), tokens.public_path(BPE))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = heavy(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+    return near_dedup.near_duplicates(heavy(spark, sf_dir, "documents"), k=4)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(heavy(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
