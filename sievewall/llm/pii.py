@@ -64,7 +64,7 @@ REPEATS = {"double": 2, "triple": 3}
 
 _LETTER = r"[^\W\d_]"
 _word = "|".join(sorted([*DIGIT_WORDS, *REPEATS], key=len, reverse=True))
-_SPOKEN = re.compile(rf"(?i)(?<!{_LETTER})(?:plus[\s,.-]+)?(?:{_word}|[0-9])(?:[\s,.-]+(?:{_word}|[0-9])){{2,}}(?!{_LETTER})")
+_SPOKEN = re.compile(rf"(?i)(?<!\w)(?:plus[\s,.-]+)?(?:{_word}|[0-9])(?:[\s,.-]+(?:{_word}|[0-9])){{2,}}(?!{_LETTER})")
 _SPOKEN_WORD = re.compile(rf"(?i)(plus)|({_word})|([0-9])")
 _ats, _dots = "at|arroba|arobase|ät", "dot|punto|punkt|point"
 _AT = rf"(?:\s*[\[({{<]\s*(?:{_ats}|@)\s*[\])}}>]\s*|\s+(?:{_ats})\s+|\s*@\s*)"
@@ -86,9 +86,12 @@ _IP_DOT_PART = re.compile(rf"(?i)({_IP_DOT})")
 #: What must be in a text for it to be worth rewriting, besides characters that ``fold`` changes.
 _CUE_AT = re.compile(rf"[\[({{<]\s*(?:{_ats}|@|{_dots}|\.)\s*[\])}}>]")
 _CUE_DOT = re.compile(rf"[\s_-](?:{_dots})[\s_-]|\s(?:arroba|arobase|ät)\s")
-_CUE_SPOKEN = re.compile(rf"(?<!{_LETTER})(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})[\s,.-]+(?:{_word}|[0-9])(?!{_LETTER})")
+_CUE_SPOKEN = re.compile(rf"\b(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})[\s,.-]+(?:{_word}|[0-9])(?!{_LETTER})")
 _CUE_FOLD = re.compile("[" + "".join(map(re.escape, map(chr, sorted(set(FOLD) | INVISIBLE)))) + "０-９Ａ-Ｚａ-ｚ٠-٩۰-۹०-९\U0001d400-\U0001d7ff]")
 
+#: UTF-8 bytes with ASCII characters that aren't letters as spaces.
+_SPACED = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
+_DIGIT_BYTES = frozenset(w.encode() for w in DIGIT_WORDS)
 _CUE_WORDS = ("dot", "punto", "punkt", "point", "arroba", "arobase", "ät")
 
 Span = tuple[str, int, int]
@@ -228,7 +231,7 @@ def spoken(tape: Tape) -> None:
 def disguised(text: str) -> list[Span]:
     """What the transducers bring to light, in source offsets."""
     folds, low = not text.isascii() and _CUE_FOLD.search(text), text.lower()
-    if not folds and not (any(w in low for w in _CUE_WORDS) and _CUE_DOT.search(low)) and not (any(c in low for c in "[({<") and _CUE_AT.search(low)) and not (any(w in low for w in DIGIT_WORDS) and _CUE_SPOKEN.search(low)):
+    if not folds and not (any(w in low for w in _CUE_WORDS) and _CUE_DOT.search(low)) and not (any(c in low for c in "[({<") and _CUE_AT.search(low)) and (_DIGIT_BYTES.isdisjoint(low.encode("utf-8", "surrogatepass").translate(_SPACED).split()) or not _CUE_SPOKEN.search(low)):
         return []
     tape = Tape(text)
     if folds:
