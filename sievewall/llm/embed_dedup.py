@@ -10,11 +10,22 @@ quantised vectors thus settle nearly all pairs: below the threshold whatever the
 error, or above it whatever the error; only the pairs between are computed again,
 in double precision.
 
-Equal vectors become one class with a weight. Classes are dealt to blocks of about
-``TILE``; each pair of blocks is one group of rows, so every pair of classes meets
-once and a task holds two blocks. A task returns, for each class that has links in
-its tile, how many vectors it links to and the least id that it is joined to there,
-never pairs. The number of tiles grows with the square of the number of classes.
+Equal vectors become one class with a weight. Pairs of classes are pruned by pivots, at
+most ``PIVOTS`` of them for each vector length, taken by hash. A class is at home at the
+pivot whose product with it is largest. If x is at home at a and y at b, the plane halfway
+between a and b lies between them, x at a distance of x.(a - b) / |a - b| from it, its
+gap to b, and y at its gap to a; so |x - y| is at least the sum of both gaps, and a
+pair with a cosine of t or more has |x - y| <= sqrt(2 - 2 t). Thus x is sent only to the
+homes to which its gap is that small, and there it meets only rows whose gap leaves enough.
+
+Each home is cut into blocks of at most two tiles; a cell is a pair of blocks. Every
+pair of classes that the gaps leave open meets in one cell, and a task holds two blocks
+at a time. It returns, for each class that has links in its cell, how many vectors it
+links to and the least id that it is joined to there, never pairs. Vectors of lengths
+beyond the ``WIDTHS`` most frequent ones meet in blocks without pivots.
+
+The number of cells still grows with the square of the number of classes; the pivots cut the
+share of pairs that is multiplied, the more so the more classes (hence pivots) there are.
 
 Vectors that are null or zero, or hold null or non-finite components, link with
 nothing, as do vectors of different lengths. Rows without an id link with nothing
@@ -31,20 +42,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _io
+from . import _io, _text
 from .graph import components
 
-TILE, ROWS = 4096, 1024
-#: Slack for the rounding of single precision in the scaled products, far above what it can reach.
+TILE, ROWS = 4096, 512
+#: Bounds on what goes to the driver and back to all tasks: pivots of one length of vectors, lengths that have pivots, numbers in all pivots of one length.
+PIVOTS, WIDTHS, NUMBERS = 1024, 4, 1 << 22
+#: Slack for the rounding of single precision in the scaled products and gaps, far above what it can reach.
 ROUNDING = 1e-5
 
 _FOUND = T.StructType([T.StructField("item", T.LongType()), T.StructField("links", T.LongType()), T.StructField("rep", T.LongType())])
 
 
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to unit length, in double precision."""
+    x = vectors.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(unit vectors, int8 values, scales, norms of the error)."""
-    unit = vectors / np.abs(vectors).max(1, keepdims=True)
-    unit /= np.sqrt((unit * unit).sum(1))[:, None]
+    unit = unit_rows(vectors)
     scale = np.abs(unit).max(1) / 127
     q = np.rint(unit / scale[:, None]).astype(np.int8)
     error = unit - q * scale[:, None]
@@ -84,29 +103,43 @@ def _spans(label: np.ndarray, rows: np.ndarray, cols: np.ndarray, mask: np.ndarr
                 label[label == max(a, b)] = min(a, b)
 
 
+def reach(threshold: float) -> float:
+    """The largest distance of two unit vectors that link, and slack for rounding."""
+    return float(np.sqrt(max(2 - 2 * threshold, 0))) + ROUNDING
+
+
 def _tile(threshold: float):
+    far = reach(threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _io.whole_groups(batches, "cell"):
             t = table.combine_chunks()
-            cell, item, side, weight, width = (t.column(c).to_numpy() for c in ("cell", "item", "side", "weight", "width"))
+            cell, item, side, weight, width, gap = (t.column(c).to_numpy() for c in ("cell", "item", "side", "weight", "width", "gap"))
             cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                block = quantise(_io.matrix(t.column("vector").slice(lo, hi - lo).combine_chunks(), int(width[lo]), np.float32).astype(np.float64))
-                own, w = side[lo:hi], weight[lo:hi].astype(np.float64)
+                own, w, near = side[lo:hi], weight[lo:hi].astype(np.float64), gap[lo:hi]
                 cross = own[0] != 2
                 left, right = (np.flatnonzero(own == 0), np.flatnonzero(own == 1)) if cross else (np.arange(hi - lo), np.arange(hi - lo))
+                if cross:
+                    left, right = left[np.argsort(near[left])], right[np.argsort(near[right])]
+                    if not len(left) or not len(right) or near[left[0]] + near[right[0]] > far:
+                        continue
+                block = quantise(_io.matrix(t.column("vector").slice(lo, hi - lo).combine_chunks(), int(width[lo]), np.float32).astype(np.float64))
                 count, label = np.zeros(hi - lo), np.arange(hi - lo)
                 cols = tuple(x[right] for x in block)
                 for k in range(0, len(left), ROWS):
                     rows = left[k : k + ROWS]
-                    mask = links(tuple(x[rows] for x in block), cols, threshold)
+                    meet = int(np.searchsorted(near[right], far - near[rows[0]], "right")) if cross else len(right)
+                    if not meet:
+                        break
+                    mask = links(tuple(x[rows] for x in block), tuple(x[:meet] for x in cols), threshold)
                     if not cross:
                         mask[np.arange(len(rows)), rows] = False
                     if mask.any():
-                        count[rows] += mask @ w[right]
+                        count[rows] += mask @ w[right[:meet]]
                         if cross:
-                            count[right] += w[rows] @ mask
-                        _spans(label, rows, right, mask)
+                            count[right[:meet]] += w[rows] @ mask
+                        _spans(label, rows, right[:meet], mask)
                 some = np.flatnonzero(count)
                 if len(some):
                     ids = item[lo:hi]
@@ -142,22 +175,117 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _io.to_batch(_PACKED, {"vec_id": batch.column(0), "vector": raw, "width": np.diff(ends).astype(np.int32)})
 
 
-def tiles(members: DataFrame, key: str, size: str, by: list[str], tile: int) -> DataFrame:
-    """Deal the rows of each group to the cells of a square of blocks; adds ``cell`` and ``side``.
+class Homes:
+    """The pivots of one length of vectors, and the blocks of each one's home."""
+
+    def __init__(self, pivots: np.ndarray) -> None:
+        self.pivots = unit_rows(pivots)
+        between = np.sqrt(np.maximum(2 - 2 * (self.pivots @ self.pivots.T), 0))
+        self.between = np.where(between < 1e-4, np.inf, between).astype(np.float32)  # pivots as good as equal part nothing: gap 0
+        self.first = self.number = np.zeros(0, np.int64)
+
+    def at_home(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(products with the pivots, number of the home)."""
+        products = unit @ self.pivots.T
+        return products, products.argmax(1)
+
+    def gaps(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the home, gap to each other home)."""
+        products, home = self.at_home(unit)
+        return home, (products[np.arange(len(unit)), home][:, None] - products) / self.between[home]
+
+    def place(self, counts: np.ndarray, most: int, first: int) -> int:
+        """Number the blocks of all homes from ``first`` on; returns the next free number."""
+        self.number = np.maximum(-(-counts // most), 1)
+        self.first = first + np.cumsum(self.number) - self.number
+        return int(first + self.number.sum())
+
+    def cells(self, items: np.ndarray, unit: np.ndarray, far: float) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, cell, side, gap): where each row goes, some rows at a time."""
+        of = np.repeat(np.arange(len(self.number)), self.number)
+        for k in range(0, len(items), step := max(1, (1 << 22) // len(of))):
+            home, gap = self.gaps(unit[k : k + step])
+            own = self.first[home] + (_text.mix(items[k : k + step].astype(np.uint64)) % self.number[home].astype(np.uint64)).astype(np.int64)
+            row, other = np.nonzero((gap <= far)[:, of])
+            gap, mine, other = gap[row, of[other]], own[row], other + self.first[0]
+            cell = (np.minimum(mine, other) << 31) | np.maximum(mine, other)
+            yield row + k, cell, np.where(mine == other, 2, np.where(mine < other, 0, 1)), gap
+
+
+_HOMES = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("home", T.IntegerType())])
+_CELLS = T.StructType(
+    [
+        T.StructField("cell", T.LongType()),
+        T.StructField("side", T.IntegerType()),
+        T.StructField("gap", T.FloatType()),
+        T.StructField("item", T.LongType()),
+        T.StructField("weight", T.LongType()),
+        T.StructField("width", T.IntegerType()),
+        T.StructField("vector", T.BinaryType()),
+    ]
+)
+
+
+def _by_width(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    for batch in batches:
+        widths = batch.column(batch.schema.get_field_index("width")).to_numpy()
+        for width in np.unique(widths):
+            own = batch.filter(pa.array(widths == width))
+            yield int(width), own, unit_rows(_io.matrix(own.column(own.schema.get_field_index("vector")), int(width), np.float32))
+
+
+def _homes(known: dict[int, Homes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for width, own, unit in _by_width(batches):
+            yield _io.to_batch(_HOMES, {"width": np.full(len(own), width), "home": known[width].at_home(unit)[1]})
+
+    return run
+
+
+def _deal(known: dict[int, Homes], far: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for width, own, unit in _by_width(batches):
+            item, weight, vector = (own.column(own.schema.get_field_index(c)) for c in ("item", "weight", "vector"))
+            for row, cell, side, gap in known[width].cells(item.to_numpy(), unit, far):
+                for k in range(0, len(row), step := max(1, (1 << 25) // (4 * width + 64))):
+                    at = pa.array(row[k : k + step])
+                    plain = {"cell": cell[k : k + step], "side": side[k : k + step], "gap": gap[k : k + step].astype(np.float32)}
+                    yield _io.to_batch(_CELLS, plain | {"item": item.take(at), "weight": weight.take(at), "width": np.full(len(at), width), "vector": vector.take(at)})
+
+    return run
+
+
+def _without_pivots(items: DataFrame, tile: int) -> DataFrame:
+    """Each pair of blocks of one length of vectors as a cell; its number is negative, those of homes aren't."""
+    sizes = items.groupBy("width").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("n"))
+    dealt = items.join(sizes, "width").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "item"), F.col("n")).cast("int"))
+    cell = F.xxhash64("width", F.least("own", "other"), F.greatest("own", "other")).bitwiseOR(F.lit(-(1 << 63)))
+    side = F.when(F.col("other") == F.col("own"), 2).when(F.col("other") > F.col("own"), 0).otherwise(1)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return dealt.select(cell.alias("cell"), side.alias("side"), F.lit(0.0).cast("float").alias("gap"), "item", "weight", "width", "vector")
+
 
-    A group of at most ``tile`` rows is one cell. A larger one is cut into blocks of about ``tile``
-    rows; cell (i, j) gets block i as side 0 and block j as side 1, and cell (i, i) has all of block i.
-    """
-    n = F.ceil(F.col(size) / F.lit(tile)).cast("int")
-    block = F.pmod(F.xxhash64(F.lit(7), *by), n).cast("int")
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("_n") - 1),
-        lambda j: F.struct(F.xxhash64(F.col(key), F.least("_b", j), F.greatest("_b", j)).alias("cell"), F.when(j == F.col("_b"), F.lit(2)).when(j > F.col("_b"), F.lit(0)).otherwise(F.lit(1)).alias("side")),
-    )
-    return members.withColumn("_n", n).withColumn("_b", block).withColumn("_c", F.explode(cells)).select("*", F.col("_c.cell").alias("cell"), F.col("_c.side").alias("side")).drop("_n", "_b", "_c", key, size)
+def cells(items: DataFrame, threshold: float, tile: int = TILE, pivots: int = PIVOTS) -> DataFrame:
+    """Where each class goes: (cell, side, gap, item, weight, width, vector)."""
+    sizes = items.groupBy("width").count().orderBy(F.desc("count"), "width").limit(WIDTHS + 1).collect()
+    known: dict[int, Homes] = {}
+    for width, size in sizes[:WIDTHS]:
+        # eight homes at least, so that there are some dozens of cells to deal out
+        number = max(1, min(max(8, -(-size // tile)), pivots, NUMBERS // width))
+        taken = items.where(F.col("width") == width).select("vector").orderBy(F.xxhash64("vector"), "vector").limit(number).toArrow()
+        known[width] = Homes(_io.matrix(taken.column(0).combine_chunks(), width, np.float32))
+    some, rest = (items, None) if len(sizes) <= WIDTHS else (items.where(F.col("width").isin(*known)), items.where(~F.col("width").isin(*known)))
+    counts = {w: np.zeros(len(h.pivots), np.int64) for w, h in known.items()}
+    for width, home, count in some.select("width", "vector").mapInArrow(_homes(known), _HOMES).groupBy("width", "home").count().collect():
+        counts[width][home] = count
+    free = 0
+    for width, homes in known.items():
+        free = homes.place(counts[width], 2 * max(1, min(tile, (1 << 21) // width)), free)
+    dealt = some.select("item", "weight", "width", "vector").mapInArrow(_deal(known, reach(threshold)), _CELLS)
+    return dealt if rest is None else dealt.union(_without_pivots(rest, tile))
 
 
-def near_embeddings(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
+def near_embeddings(vectors: DataFrame, threshold: float = 0.95, tile: int = TILE, pivots: int = PIVOTS) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of ``vectors`` (vec_id, embedding)."""
     rows = _io.pick(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     rows = _io.materialize(rows.mapInArrow(_packed, _PACKED).withColumn("digest", F.sha2("vector", 256)), "vectors")
@@ -165,11 +293,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     classes = some.groupBy("digest", "width").agg(F.min("vec_id").alias("item"), F.count("*").alias("weight"))
     items = some.join(classes, ["digest", "width"]).where("vec_id = item").select("item", "weight", "width", "vector").dropDuplicates(["item", "width", "vector"])
     items = _io.materialize(items, "classes")
-    sizes = items.groupBy("width").agg(F.count("*").alias("size"))
-    # blocks shrink for few vectors, so that there are some dozens of tiles to deal out
-    sizes = sizes.withColumn("size", F.greatest("size", F.least(F.lit(TILE * 7 + 1), F.col("size") * 16)).cast("long"))
-    cells = tiles(items.join(F.broadcast(sizes), "width").withColumn("group", F.col("width")), "group", "size", ["item"], TILE)
-    found = _io.materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_tile(threshold), _FOUND), "tiles")
+    found = _io.materialize(cells(items, threshold, tile, pivots).repartition("cell").sortWithinPartitions("cell").mapInArrow(_tile(threshold), _FOUND), "tiles")
     counts = found.groupBy("item").agg(F.sum("links").alias("links"))
     joined = components(found.select("item", "rep"), "item", "rep").toDF("item", "component")
     named = classes.join(counts, "item", "left").join(joined, "item", "left").select("digest", "width", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "item").alias("component"))
