@@ -6,10 +6,12 @@ sampling then draws one piece after another from the end, each in proportion to
 weight of all paths through it, so a segmentation comes with exactly its share of
 the total weight. Pieces never hold a blank after other characters, so the lattice
 falls apart at blanks: each different word's is filtered once, and all words of a
-batch are sampled side by side.
+batch are sampled side by side. Words of more than ``LONG`` characters (texts without
+blanks) are filtered and sampled one place after another instead, in linear time.
 
-Draws are hashes of the row's key, the word's number and the step, so a row's
-segmentation depends on nothing but its key, its text and the seed.
+Draws are hashes of the row's key, the word's number and the step, of ``BITS`` bits, and
+each place's shares are whole numbers of as many bits that follow from its word alone. So
+a row's segmentation depends on nothing but its key, its text and the seed.
 
 A piece's weight is 1 / (id + 2) ** ``power``: a byte-pair vocabulary lists pieces
 by rank, not by probability. Characters without a piece, and the blank's own mark,
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +39,11 @@ from . import _io, _text
 MARK = "▁"
 #: Words whose filtered lattices a worker keeps; beyond that it starts again.
 KEPT = 200_000
+#: Characters from which on a word goes alone.
+LONG = 1024
+#: Bits of a draw; the number of a place stands above them.
+BITS = 36
+_STEP = 0xD1B54A32D192ED03
 _VALUES = _text.keys(53, 0x10000)
 
 
@@ -43,6 +51,20 @@ def _points_values(cp: np.ndarray) -> np.ndarray:
     return _VALUES[cp & 0xFFFF] + cp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def _forward(edges: np.ndarray, before: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """The running shares of each place's edges in one long word's lattice."""
+    total, out = [], []
+    edges, before, log = edges.tolist(), before.tolist(), log.tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        sums = [log[k] + (total[before[k]] if before[k] >= 0 else 0.0) for k in range(a, b)]
+        most, run = max(sums), []
+        for x in sums:
+            run.append(math.exp(x - most) + (run[-1] if run else 0.0))
+        total.append(most + math.log(run[-1]))
+        out += [x / run[-1] for x in run]
+    return np.array(out)
+
+
 class Sampler:
     def __init__(self, path: str, power: float = 1.0) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -74,7 +96,7 @@ class Sampler:
     def _reset(self) -> None:
         self.index, self.known = pd.Index(np.zeros(0, np.uint64)), np.zeros(0, np.uint64)
         self.ends = np.zeros(0, np.int64)  # each word's last place
-        self.cum, self.before, self.ids = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)  # edges, by the place they lead to
+        self.cum, self.before, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)  # edges, by the place they lead to
         self.edges = np.zeros(1, np.int64)  # where each place's edges begin
 
     def _edges(self, cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -115,8 +137,10 @@ class Sampler:
         cuts = np.searchsorted(place, np.arange(len(cp) + 1))
         depth = np.arange(len(cp)) - ends[:-1][_text.rows_of(ends)]
         total, cum = np.zeros(len(cp)), np.zeros(len(place))
-        order = np.argsort(depth[place], kind="stable")
-        steps = np.searchsorted(depth[place][order], np.arange(depth.max() + 2))
+        alone = np.diff(ends) > LONG
+        order = np.flatnonzero(~alone[_text.rows_of(ends)[place]])
+        order = order[np.argsort(depth[place[order]], kind="stable")]
+        steps = np.flatnonzero(np.r_[True, np.diff(depth[place[order]]) > 0, True]) if len(order) else np.zeros(1, np.int64)
         for a, b in zip(steps[:-1], steps[1:], strict=True):  # all words' first places, then all second ones, ...
             own = order[a:b]
             at, prior = place[own], before[own]
@@ -124,15 +148,18 @@ class Sampler:
             size = np.diff(np.append(first, len(own)))
             sums = log[own] + np.where(prior >= 0, total[prior], 0.0)
             most = np.maximum.reduceat(sums, first)
-            share = np.exp(sums - np.repeat(most, size))
-            whole = np.add.reduceat(share, first)
+            run = np.exp(sums - np.repeat(most, size))
+            for k in range(1, size.max()):  # each place's sums by itself, so that they don't depend on other words
+                next_ = first[size > k] + k
+                run[next_] += run[next_ - 1]
+            whole = run[first + size - 1]
             total[at[first]] = most + np.log(whole)
-            run = np.cumsum(share)
-            run = (run - np.repeat(run[first] - share[first], size)) / np.repeat(whole, size)
-            run[np.append(first[1:], len(own)) - 1] = 1.0
-            cum[own] = run
+            cum[own] = run / np.repeat(whole, size)
+        for w in np.flatnonzero(alone):
+            a, b = cuts[ends[w]], cuts[ends[w + 1]]
+            cum[a:b] = _forward(cuts[ends[w] : ends[w + 1] + 1] - a, np.where(before[a:b] >= 0, before[a:b] - ends[w], -1), log[a:b])
         places = len(self.edges) - 1
-        self.cum = np.concatenate([self.cum, place + places + cum])
+        self.cum = np.concatenate([self.cum, ((place + places).astype(np.int64) << BITS) + (cum * (1 << BITS)).astype(np.int64)])
         self.before = np.concatenate([self.before, np.where(before >= 0, before + places, -1)])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
         self.edges = np.concatenate([self.edges, self.edges[-1] + cuts[1:]])
@@ -164,23 +191,45 @@ class Sampler:
         cuts = np.searchsorted(start, ends)
         row = _text.rows_of(cuts)
         own = _text.mix(row_keys.astype(np.uint64)[row] + _text.mix((np.arange(len(start)) - cuts[:-1][row]).astype(np.uint64) ^ np.uint64(seed)) * np.uint64(_text.BASE))
-        place, live = self.ends[at], np.arange(len(start))
-        steps: list[tuple[np.ndarray, np.ndarray]] = []
         size = np.zeros(len(start), np.int64)
+        alone = {int(i): self._backward(int(self.ends[at[i]]), int(stop[i] - start[i]), own[i]) for i in np.flatnonzero(stop - start > LONG)}
+        live = np.flatnonzero(stop - start <= LONG)
+        place = self.ends[at[live]]
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
         while len(live):
-            draw = (_text.mix(own[live] + np.uint64((len(steps) + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.minimum(np.searchsorted(self.cum, place + draw, "right"), self.edges[place + 1] - 1)
-            edge = np.maximum(edge, self.edges[place])
+            draw = (_text.mix(own[live] + np.uint64((len(steps) + 1) * _STEP & (1 << 64) - 1)) >> np.uint64(64 - BITS)).astype(np.int64)
+            edge = np.searchsorted(self.cum, (place << BITS) + draw, "right")
             steps.append((live, self.ids[edge]))
             size[live] += 1
             place = self.before[edge]
             live, place = live[place >= 0], place[place >= 0]
+        for i, ids in alone.items():
+            size[i] = len(ids)
         total = np.concatenate([[0], np.cumsum(size)])
         out = np.empty(total[-1], np.int32)
         for i, (who, ids) in enumerate(steps):
             out[total[who + 1] - 1 - i] = ids
+        for i, ids in alone.items():
+            out[total[i] : total[i + 1]] = ids[::-1]
         return self._bytes(out, total[cuts])
 
+    def _backward(self, place: int, length: int, own: np.uint64) -> list[int]:
+        """Ids of a sampled path of one long word, the last one first."""
+        first = place - length + 1
+        base = int(self.edges[first])
+        edges = (self.edges[first : place + 2] - base).tolist()
+        cum, before, ids = (x[base : base + edges[-1]].tolist() for x in (self.cum, self.before, self.ids))
+        out: list[int] = []
+        while place >= 0:
+            k = len(out) & 0xFFF
+            if not k:
+                number = np.arange(len(out) + 1, len(out) + 0x1001, dtype=np.uint64)
+                draws = (_text.mix(own + number * np.uint64(_STEP)) >> np.uint64(64 - BITS)).tolist()
+            edge = bisect_right(cum, (place << BITS) + draws[k], edges[place - first], edges[place - first + 1])
+            out.append(ids[edge])
+            place = before[edge]
+        return out
+
     def _bytes(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece as the pieces of their bytes."""
         code = -1 - ids
