@@ -228,6 +228,33 @@ def test_embeddings(spark):
     assert not embed_dedup.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count()
 
 
+def test_pruning_by_pivots_loses_no_link(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 12))
+    x = [(centres[i % 40] + rng.normal(size=12) * 0.4 * rng.random()).astype(np.float32) for i in range(900)]
+    x += [(centres[0] + rng.normal(size=12) * 0.3).astype(np.float32) for _ in range(400)]  # a third in one home
+    x += [rng.normal(size=w).astype(np.float32) for w in (2, 3, 4, 5, 6) for _ in range(20)]  # more lengths than have pivots
+    x += [2 * x[0], -x[1], x[2]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = [v.astype(np.float64) / np.linalg.norm(v.astype(np.float64)) for v in x]
+    links = [(a, b) for a in range(len(x)) for b in range(a) if len(x[a]) == len(x[b]) and unit[a] @ unit[b] >= 0.95]
+    want, n = groups(links, range(len(x))), Counter(i for e in links for i in e)
+    for tile, pivots in ((16, 60), (64, 5), (4096, 1)):
+        out = embed_dedup.near_embeddings(df, 0.95, tile, pivots).collect()
+        assert {r["vec_id"]: (r["component_id"], r["n_links"]) for r in out} == {i: (want[i], n[i]) for i in range(len(x))}
+
+
+def test_gaps_bound_distances():
+    rng = np.random.default_rng(12)
+    x = embed_dedup.unit_rows(rng.normal(size=(400, 8)))
+    homes = embed_dedup.Homes(np.concatenate([x[:20], x[:1], x[1:2] * 3]))
+    home, gap = homes.gaps(x)
+    both = gap[np.arange(400)[:, None], home[None, :]] + gap[:, home].T
+    both[home[:, None] == home[None, :]] = 0
+    far = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
+    assert (gap >= -1e-9).all() and (both <= far + 1e-6).all() and (both > embed_dedup.reach(0.95)).mean() > 0.3
+
+
 def test_quantised_products_lose_nothing():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 24)) + rng.normal(size=24) * 2
@@ -237,7 +264,7 @@ def test_quantised_products_lose_nothing():
 
 
 
-def test_sampling_is_exact_lossless_and_reproducible(spark):
+def test_sampling_is_exact_lossless_and_reproducible(spark, monkeypatch):
     path = tokens.public_path("piece_bpe_32k.model")
     s = sampling.Sampler(path)
     texts = ["hello world", "  two  spaces ▁ mark", "", "\n", "Ünïcödé 中文 \U0001f600 x<0x41>", " ", prose(50)]
@@ -256,6 +283,10 @@ def test_sampling_is_exact_lossless_and_reproducible(spark):
                 walk(j, [*path_, s.pieces[word[i:j]][0]], w + s.pieces[word[i:j]][1])
 
     walk(0, [], 0.0)
+    whole = sampling.Sampler(path).sample(texts, keys)
+    monkeypatch.setattr(sampling, "LONG", 2)  # words alone are sampled as words side by side are
+    alone = sampling.Sampler(path).sample(texts, keys)
+    assert all((a == b).all() for a, b in zip(whole, alone, strict=True))
     ids, cuts = s.sample(["abc"] * 20000, np.arange(20000, dtype=np.uint64))
     seen = Counter(tuple(ids[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
     assert set(seen) <= set(share) and all(abs(seen[p] / 20000 - x / sum(share.values())) < 0.015 for p, x in share.items())
